@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLE_SQL = {
