@@ -57,3 +57,16 @@ def crc_mod(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null ids: crc32 of the empty text)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def chunks(texts: list, most: int = 1_000_000):
+    """Slices (start, end) of ``texts`` with about ``most`` characters each; a longer text is alone in its slice."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t is not None else 0
+        if size and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)

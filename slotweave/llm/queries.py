@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, tokencount
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op10_token_counts": tokencount.op10_token_counts,
 }
 ORACLE_SQL = {
     "op6_mixing": mixing.ORACLE,
