@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, tokencount
+from . import mixing, quality, rans, tokencount
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op4_rans": rans.op4_rans,
     "op6_mixing": mixing.op6_mixing,
     "op10_token_counts": tokencount.op10_token_counts,
 }
