@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,3 +74,25 @@ def chunks(texts: list, most: int = 1_000_000):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def mapped(df: DataFrame, inputs: list[str], fn: Callable, new: str, keep: list[str] | None = None) -> DataFrame:
+    """``df``'s columns (``keep`` of them, all by default) and the columns ``new`` (DDL) that ``fn`` makes.
+
+    ``fn`` gets each batch's ``inputs`` as Arrow arrays and returns one list or array per
+    new column. What is kept stays in Arrow, so nulls, long ids and nested columns pass
+    through unchanged.
+    """
+    keep = df.columns if keep is None else keep
+    added = T.StructType.fromDDL(new)
+    schema = T.StructType([*[df.schema[c] for c in keep], *added.fields])
+    kinds = to_arrow_schema(added).types
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(*(b.column(c) for c in inputs))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=names)
+
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)

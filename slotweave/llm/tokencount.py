@@ -18,15 +18,13 @@ rows each get their row; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, mapped, table
 from .pieces import END_TEXT, Pieces, codes, split
 
 LIMIT = 1024
@@ -141,15 +139,13 @@ def count_texts(texts: list[str | None], ranks_path: str | None = None) -> np.nd
 def count(docs: DataFrame, limit: int = LIMIT, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            n = [count_texts(texts[i:j], ranks_path) for i, j in chunks(texts)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": np.concatenate(n) if n else np.zeros(0, np.int64)})
+    def run(texts):
+        texts = texts.to_pylist()
+        n = [count_texts(texts[i:j], ranks_path) for i, j in chunks(texts)]
+        return (np.concatenate(n) if n else np.zeros(0, np.int64),)
 
     t = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    schema = t.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
-    return t.mapInPandas(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return mapped(t, ["text"], run, "n_tokens long", ["doc_id", "n_bytes"]).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
