@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, rans, tokencount
+from . import decontaminate, extract, mixing, quality, rans, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_rans": rans.op4_rans,
+    "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_extract": extract.op8_extract,
     "op10_token_counts": tokencount.op10_token_counts,
 }
 ORACLE_SQL = {
