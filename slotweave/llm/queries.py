@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, mixing, quality, rans, tokencount, warc
+from . import bagminhash, decontaminate, extract, mixing, quality, rans, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_extract": extract.op8_extract,
+    "op9_bagminhash": bagminhash.op9_bagminhash,
     "op10_token_counts": tokencount.op10_token_counts,
 }
 ORACLE_SQL = {
