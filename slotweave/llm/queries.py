@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bagminhash, decontaminate, extract, langid, mixing, quality, rans, tokencount, warc
+from . import bagminhash, decontaminate, extract, langid, lm, mixing, quality, rans, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_attention": lm.op2_attention,
     "op3_langid": langid.op3_langid,
     "op4_rans": rans.op4_rans,
     "op5_warc": warc.op5_warc,
