@@ -88,6 +88,11 @@ def thresholds(base: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     return edge.select("source", "source_size", "target", "_copies", theta.alias("_theta"))
 
 
+def _times() -> Column:
+    """How often the mix takes a document, of its source's threshold."""
+    return F.col("_copies") + (F.col("_h") <= F.col("_theta")).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, ``carry``, size, source_size, target, taken.
 
@@ -100,8 +105,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     narrow = base.select("source", "size", "_h")
     t = thresholds(narrow, goals, n).withColumnRenamed("source", "_s")
     out = base.join(small(t, n), base["source"].eqNullSafe(F.col("_s")))
-    times = F.col("_copies") + (F.col("_h") <= F.col("_theta")).cast("long")
-    return out.select("doc_id", "source", *carry, "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return out.select("doc_id", "source", *carry, "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix itself: ``docs`` with each document as often as it is taken, all columns as they were."""
+    narrow = stored(docs.select("source", word_count("text").alias("size"), hash60("doc_id").alias("_h")), "mix")
+    goals = stored(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "goals")
+    n = goals.count()
+    t = thresholds(narrow, goals, n).select(F.col("source").alias("_s"), "_copies", "_theta")
+    packed = docs.select(F.col("source").alias("_source"), hash60("doc_id").alias("_h"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    out = packed.join(small(t, n), F.col("_source").eqNullSafe(F.col("_s")))
+    return out.select("doc", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,5 +196,11 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return d.select(*keep, out.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that the rules reject, all columns as they were."""
+    packed = docs.select("doc_id", "text", "lang", "source", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    return measure(packed, ("doc",)).where("kept").select("doc.*")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
