@@ -13,12 +13,14 @@ of weight w thus runs O(log w) processes, and each stops as soon as its next poi
 later than the document's latest register.
 
 Equal multisets are one *node*, so exact copies cost one row each and no pair. Nodes that
-share a band are candidates. In each bucket the members are compared with one pivot, not
-with each other; where a bucket's members are then in more than one class, twice as many
-further pivots are compared in each round, until every pair of members in different
-classes has been compared. So no link is lost, while a bucket of like texts costs one
-comparison per member. A comparison is the exact overlap of the two multisets; a link
-needs a similarity of at least ``SIMILARITY``. Classes are the links' connected components.
+share a band are candidates. First each bucket's members are compared with one pivot, and
+classes made of the links found. Buckets that then hold more than one class go on: those
+of at most ``FEW`` members compare what remains pair by pair (so a member has fewer than
+``FEW`` partners there), larger ones block by block with matrix products, leaving out the
+pairs within the largest class. Every two members of a bucket that could still join two
+classes are compared, so no link is lost; links within a class are not looked for. A
+comparison is the exact overlap of the two multisets; a link needs a similarity of at
+least ``SIMILARITY``. Classes are the links' connected components.
 
 Edge cases: texts without words (null, empty, blank) are never linked; null ids sort
 behind all others, and a class's id is null only if all its ids are; rows with equal ids
@@ -48,6 +50,8 @@ SIMILARITY = 0.8
 BATCH_CHARS = 2_000_000
 #: Narrow tables of pairs (two or three longs a row) are broadcast up to this many rows.
 PAIR_ROWS = 1_000_000
+#: Members of smaller buckets are compared pair by pair, those of larger ones block by block.
+FEW, BLOCK = 16, 256
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -148,21 +152,25 @@ def sketch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return keys[0], keys[1], n, bands(signatures(h, owner, weight, len(texts)))
 
 
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(element, text): the i-th copy of a shingle is an element of its own, so multisets become sets."""
+    h, owner = shingles(texts)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    place = np.arange(len(h))
+    ordinal = place - np.maximum.accumulate(np.where(new, place, 0))
+    return mixed(h + ordinal.astype(np.uint64) * _B), owner
+
+
 def overlap(a: list[str], b: list[str]) -> np.ndarray:
     """Weighted Jaccard similarity of each a[i] and b[i], exactly."""
     distinct = list(dict.fromkeys([*a, *b]))
     number = {t: i for i, t in enumerate(distinct)}
     sets: list[np.ndarray] = []
     for i, j in chunks(distinct, BATCH_CHARS):
-        h, owner = shingles(distinct[i:j])
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        place = np.arange(len(h))
-        # the i-th copy of a shingle is an element of its own: multisets become sets
-        ordinal = place - np.maximum.accumulate(np.where(new, place, 0))
-        x = mixed(h + ordinal.astype(np.uint64) * _B)
+        x, owner = elements(distinct[i:j])
         sets += np.split(x, np.searchsorted(owner, np.arange(1, j - i)))
     out = np.zeros(len(a))
     for k, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -230,53 +238,128 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("row"))
+    return members.join(small(labels, labels.count(), PAIR_ROWS), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The stored members of buckets that still hold more than one class; of buckets with equal members, one."""
+    per = members.groupBy("h").agg(
+        F.min("label").alias("_lo"),
+        F.max("label").alias("_hi"),
+        F.bit_xor(F.xxhash64("row")).alias("_x"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_y"),
+        F.count(F.lit(1)).alias("c"),
+    )
+    per = per.where(F.col("_lo") != F.col("_hi")).groupBy("_x", "_y", "c").agg(F.min("h").alias("h")).select("h")
+    per = stored(per, "open")
+    return stored(members.join(small(per, per.count(), PAIR_ROWS), "h"), "members")
+
+
+def _like(x, y):
+    """Sizes that a similarity of SIMILARITY allows."""
+    return F.least(x, y) >= F.greatest(x, y) * (SIMILARITY - 1e-12)
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(row, label) of the linked nodes. ``nodes``: row, n, bands; ``texts``: row, text."""
     long_ = nodes.select("row", "n", F.explode("bands").alias("h"))
     shared = long_.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("row"), "row", "n")).alias("f"))
-    # the bucket's first pivot: the least hash, the same node in as many bands as possible
+    # the bucket's pivot: the least hash, so the same node in as many bands as possible
     shared = stored(shared.where(F.col("c") > 1).select("h", "c", F.col("f.row").alias("pivot"), F.col("f.n").alias("pn")), "buckets")
     n_shared = shared.count()
     if not n_shared:
         return None
     members = stored(long_.join(small(shared, n_shared, PAIR_ROWS), "h"), "members")
-    like = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (SIMILARITY - 1e-12)
-    pairs = members.where((F.col("row") != F.col("pivot")) & like(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("row").alias("b"))
-    tried, found, labels, high = None, None, None, 1.0
-    while True:
-        # a pair is compared once, whichever end was the pivot
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        n_pairs = pairs.count()
-        if n_pairs:
-            done = _verified(pairs, n_pairs, texts)
-            tried = done if tried is None else stored(tried.unionByName(done), "tried")
-            if done.where("linked").limit(1).count():
-                found = tried.where("linked")
-                labels = components(found)
-        # buckets whose members are in more than one class, with more than the first pivot's pairs to compare
-        rest = members.where(F.col("c") > 2)
-        if labels is not None:
-            rest = rest.join(small(labels, labels.count(), PAIR_ROWS), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        else:
-            rest = rest.withColumn("label", F.col("row"))
-        open_ = rest.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("h")
-        open_ = stored(open_, "open")
-        n_open = open_.count()
-        if not n_open:
-            return labels
-        rest = stored(rest.join(small(open_, n_open, PAIR_ROWS), "h").select("h", "c", "row", "n", "label", (F.shiftrightunsigned(F.xxhash64("row"), 11) * F.lit(2.0**-53)).alias("u")), "rest")
-        # members in a fixed random order; this round's pivots are those of ranks up to ``high``, roughly
-        at = F.col("u") * F.col("c")
-        low = 0.0 if high == 1.0 else high / 2
-        chosen = rest.where((at >= low) & (at < high)).select("h", F.col("row").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("u").alias("ua"))
-        pairs = rest.join(chosen, "h").where((F.col("u") > F.col("ua")) & (F.col("label") != F.col("la")) & like(F.col("n"), F.col("na")))
-        pairs = pairs.select("a", F.col("row").alias("b"))
-        if low > rest.agg(F.max("c")).first()[0]:
-            return labels
-        high *= 2
+    pairs = members.where((F.col("row") != F.col("pivot")) & _like(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("row").alias("b"))
+    pairs = stored(_unordered(pairs), "pairs")
+    tried = _verified(pairs, pairs.count(), texts)
+    found = tried.where("linked").select("a", "b")
+    labels = components(found) if found.limit(1).count() else None
+    # a bucket of two is settled; in others, members of different classes may still be linked
+    rest = _open(_classed(members.where("c > 2").select("h", "c", "row", "n"), labels))
+    few = rest.where(F.col("c") <= FEW)
+    other = few.select("h", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    # at most FEW partners for each member
+    pairs = few.join(other, "h").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("lb")) & _like(F.col("n"), F.col("nb")))
+    pairs = _unordered(pairs.select(F.col("row").alias("a"), "b")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    more = _verified(pairs, pairs.count(), texts).where("linked").select("a", "b").unionByName(_blocks(rest.where(F.col("c") > FEW), texts))
+    more = stored(more, "more")
+    if more.limit(1).count():
+        labels = components(found.unionByName(more))
+    return labels
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of large buckets, enough to join all classes that any link joins.
+
+    A bucket's largest class is dealt into blocks of about BLOCK members, and so are all
+    other members together. Each block of others meets each block of either kind once, in
+    one task that compares them all by matrix products; within the largest class nothing
+    is compared. A member is sent once for each block that it meets.
+    """
+    sizes = members.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("c"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("h", F.col("m.label").alias("main"), blocks(F.col("m.k")).alias("nm"), blocks(F.col("c") - F.col("m.k")).alias("nu"))
+    dealt = members.select("h", "row", "label").join(sizes, "h").withColumn("in_main", F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("row"), F.when(F.col("in_main"), F.col("nm")).otherwise(F.col("nu"))).cast("int"))
+    key = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    us, ms = F.sequence(F.lit(0), F.col("nu") - 1), F.sequence(F.lit(0), F.col("nm") - 1)
+    meets = F.when(F.col("in_main"), F.transform(us, lambda u: key(0, u, F.col("k")))).otherwise(
+        F.concat(F.transform(ms, lambda m: key(0, F.col("k"), m)), F.transform(us, lambda u: key(1, F.least(u, F.col("k")), F.greatest(u, F.col("k")))))
+    )
+    dealt = stored(dealt.select("h", "row", "label", F.explode(meets).alias("g")), "dealt")
+    n = dealt.count()
+    whole = texts.join(small(dealt, n, PAIR_ROWS), "row").select("h", "g", "row", "label", "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        return pa.table(dict(zip("ab", joined(*(t.column(c).to_pylist() for c in ("row", "label", "text"))), strict=True)))
+
+    return whole.groupBy("h", "g").applyInArrow(compare, "a long, b long")
+
+
+def joined(rows: list[int], labels: list[int], texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Links of one block: enough to join all labels that any link joins."""
+    x, owner = elements(texts)
+    keys, where, n = np.unique(x, return_inverse=True, return_counts=True)
+    # elements of one text alone are in no overlap
+    both = n[where] > 1
+    column = (np.cumsum(n > 1) - 1)[where[both]]
+    size, doc = np.bincount(owner, minlength=len(rows)).astype(np.float32), owner[both]
+    shared, width = np.zeros((len(rows), len(rows)), np.float32), 4096
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        m = np.zeros((len(rows), width), np.float32)
+        m[doc[a:b], column[a:b] - first] = 1
+        shared += m @ m.T
+    alike = shared >= (SIMILARITY - 1e-9) * (size[:, None] + size[None, :] - shared)
+    label = np.array(labels)
+    i, j = np.nonzero(np.triu(alike & (label[:, None] != label[None, :]), 1))
+    up = {k: k for k in labels}
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    out: tuple[list, list] = [], []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        u, v = top(labels[p]), top(labels[q])
+        if u != v:
+            up[u] = v
+            out[0].append(min(rows[p], rows[q]))
+            out[1].append(max(rows[p], rows[q]))
+    return pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())
 
 
 def classes(rows: DataFrame) -> DataFrame:
