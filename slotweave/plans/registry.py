@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from slotweave.plans import decoding, streams, transactions  # noqa: F401  (they register their queries)
+
+QUERIES, ORACLE_SQL = transactions.QUERIES, transactions.ORACLE_SQL
