@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from slotweave.storage import shared_dir, stored  # noqa: F401
+
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -19,29 +19,6 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session sets none (unit tests) is a folder of our own made.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="slotweave-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, what: str = "t") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and reread it.
-
-    Cuts the lineage: what is read later survives the loss of any executor.
-    """
-    path = f"{shared_dir(df.sparkSession)}/slotweave-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if its counted ``rows`` are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
