@@ -4,36 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_OF = T.StructType.fromDDL
-
-ACCOUNT = _OF(
-    "slot decimal(20,0), bank_id decimal(20,0), is_startup boolean, pubkey binary, owner binary, lamports decimal(20,0), "
-    "executable boolean, rent_epoch decimal(20,0), write_version decimal(20,0), data binary, txn_signature binary"
-)
-_COMPILED = "struct<program_id_index:int, accounts:array<int>, data:binary>"
-_INNER = "struct<index:int, instructions:array<struct<program_id_index:int, accounts:array<int>, data:binary, stack_height:int>>>"
-TRANSACTION = _OF(
-    "slot decimal(20,0), bank_id decimal(20,0), signature binary, is_vote boolean, tx_index decimal(20,0), failed boolean, err string, "
-    f"static_keys array<binary>, loaded_writable array<binary>, loaded_readonly array<binary>, instructions array<{_COMPILED}>, "
-    f"inner_instructions array<{_INNER}>, log_messages array<string>, fee decimal(20,0), compute_units decimal(20,0), "
-    "token_balances array<struct<owner:binary, mint:binary, pre:decimal(20,0), post:decimal(20,0)>>"
-)
-INSTRUCTION = _OF(
-    "slot decimal(20,0), bank_id decimal(20,0), signature binary, tx_index decimal(20,0), is_vote boolean, failed boolean, "
-    "program binary, accounts array<binary>, data binary, path array<int>, flat_path array<int>, ix_index string, "
-    "log_start int, log_end int, fee_payer binary"
-)
-BLOCK_META = _OF(
-    "slot decimal(20,0), bank_id decimal(20,0), parent_slot decimal(20,0), blockhash string, parent_blockhash string, block_time bigint, "
-    "block_height decimal(20,0), executed_transaction_count decimal(20,0), entries_count decimal(20,0), "
-    "rewards array<struct<pubkey:string, lamports:bigint, post_balance:decimal(20,0), reward_type:int, commission:string>>"
-)
-BLOCK_FOOTER = _OF("slot decimal(20,0), bank_id decimal(20,0), certificates array<binary>")
-SLOT = _OF("slot decimal(20,0), parent decimal(20,0), bank_id decimal(20,0), status string, dead_error string")
-ENTRY = _OF("slot decimal(20,0), bank_id decimal(20,0), index decimal(20,0), hash binary, executed_transaction_count decimal(20,0)")
-RECORD = _OF("topic string, key string, value binary, headers array<struct<key:string, value:binary>>, is_decoded boolean, kind string")
-
-KINDS = {"account": ACCOUNT, "transaction": TRANSACTION, "instruction": INSTRUCTION, "block_meta": BLOCK_META, "block_footer": BLOCK_FOOTER, "slot": SLOT, "entry": ENTRY}
+U64, I64, INT, TEXT, BYTES, FLAG = T.DecimalType(20, 0), T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.BooleanType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+def list_of(t: T.DataType) -> T.ArrayType:
+    return T.ArrayType(t)
+
+
+ACCOUNT = struct(
+    slot=U64, bank_id=U64, is_startup=FLAG, pubkey=BYTES, owner=BYTES, lamports=U64, executable=FLAG, rent_epoch=U64,
+    write_version=U64, data=BYTES, txn_signature=BYTES,
+)
+_CALL = {"program_id_index": INT, "accounts": list_of(INT), "data": BYTES}
+TRANSACTION = struct(
+    slot=U64, bank_id=U64, signature=BYTES, is_vote=FLAG, tx_index=U64, failed=FLAG, err=TEXT,
+    static_keys=list_of(BYTES), loaded_writable=list_of(BYTES), loaded_readonly=list_of(BYTES),
+    instructions=list_of(struct(**_CALL)),
+    inner_instructions=list_of(struct(index=INT, instructions=list_of(struct(**_CALL, stack_height=INT)))),
+    log_messages=list_of(TEXT), fee=U64, compute_units=U64,
+    token_balances=list_of(struct(owner=BYTES, mint=BYTES, pre=U64, post=U64)),
+)
+INSTRUCTION = struct(
+    slot=U64, bank_id=U64, signature=BYTES, tx_index=U64, is_vote=FLAG, failed=FLAG, program=BYTES, accounts=list_of(BYTES), data=BYTES,
+    path=list_of(INT), flat_path=list_of(INT), ix_index=TEXT, log_start=INT, log_end=INT, fee_payer=BYTES,
+)
+BLOCK_META = struct(
+    slot=U64, bank_id=U64, parent_slot=U64, blockhash=TEXT, parent_blockhash=TEXT, block_time=I64, block_height=U64,
+    executed_transaction_count=U64, entries_count=U64,
+    rewards=list_of(struct(pubkey=TEXT, lamports=I64, post_balance=U64, reward_type=INT, commission=TEXT)),
+)
+BLOCK_FOOTER = struct(slot=U64, bank_id=U64, certificates=list_of(BYTES))
+BLOCK = T.StructType([*BLOCK_META.fields, *struct(transactions=list_of(TRANSACTION), accounts=list_of(ACCOUNT)).fields])
+SLOT = struct(slot=U64, parent=U64, bank_id=U64, status=TEXT, dead_error=TEXT)
+ENTRY = struct(slot=U64, bank_id=U64, index=U64, hash=BYTES, executed_transaction_count=U64)
+RECORD = struct(topic=TEXT, key=TEXT, value=BYTES, headers=list_of(struct(key=TEXT, value=BYTES)), is_decoded=FLAG, kind=TEXT)
+
+KINDS = {
+    "account": ACCOUNT, "transaction": TRANSACTION, "instruction": INSTRUCTION, "block_meta": BLOCK_META,
+    "block_footer": BLOCK_FOOTER, "block": BLOCK, "slot": SLOT, "entry": ENTRY,
+}
 
 #: Slot statuses in the order of finality; the others are events between slots.
 COMMITMENTS = ("processed", "confirmed", "finalized")
