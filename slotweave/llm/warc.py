@@ -6,7 +6,8 @@ bytes is archived elsewhere. Of records with equal payloads, that with the large
 the response.
 
 Archive layout: a skippable frame (magic 0x184D2A5D, little-endian size) that holds the
-dictionary, then one Zstandard frame per record, compressed with that dictionary. The
+dictionary, one Zstandard frame per record, compressed with that dictionary, and a last
+skippable frame (0x184D2A5E) with the number of records, which tells a cut archive. The
 dictionary is trained from the archive's own records (at most ``SAMPLE_BYTES`` of them,
 evenly spread over the archive), so archives are written side by side, need no
 coordination and can each be read alone. An archive closes after ``ARCHIVE_BYTES`` of
@@ -39,7 +40,8 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 24_000_000
 DICT_BYTES, SAMPLE_BYTES, MIN_SAMPLES = 32_768, 1_500_000, 16
 LEVEL = 3
-SKIPPABLE = 0x184D2A5D
+SKIPPABLE, TRAILER = 0x184D2A5D, 0x184D2A5E
+_END = struct.Struct("<IIQ")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 _ID_SPACE = "77617263-0000-4000"
@@ -106,23 +108,28 @@ def pack(records: list[bytes]) -> bytes:
     if kind:
         kind.precompute_compress(level=LEVEL)
     c = zstandard.ZstdCompressor(level=LEVEL, dict_data=kind, write_checksum=True)
-    return struct.pack("<II", SKIPPABLE, len(d)) + d + b"".join(map(c.compress, records))
+    return struct.pack("<II", SKIPPABLE, len(d)) + d + b"".join(map(c.compress, records)) + _END.pack(TRAILER, 8, len(records))
 
 
 def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of every record."""
     import zstandard
 
+    if len(archive) < 8 + _END.size:
+        raise ValueError("the archive is cut")
     magic, size = struct.unpack_from("<II", archive)
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame")
+    last, _, expected = _END.unpack_from(archive, len(archive) - _END.size)
+    if last != TRAILER:
+        raise ValueError("the archive is cut")
     d = archive[8 : 8 + size]
-    source = memoryview(archive)[8 + size :]
+    source = memoryview(archive)[8 + size : len(archive) - _END.size]
     if not len(source):
         return
     dctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None)
     reader = dctx.stream_reader(source, read_across_frames=True)
-    buffer, at = b"", 0
+    buffer, at, seen = b"", 0, 0
 
     def more(n: int) -> bool:
         nonlocal buffer, at
@@ -133,8 +140,8 @@ def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while True:
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
             if not more(1):
-                if len(buffer) > at:
-                    raise ValueError("the archive ends inside a record's head")
+                if len(buffer) > at or seen != expected:
+                    raise ValueError("records are missing")
                 return
         lines = buffer[at:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/1."):
@@ -147,6 +154,7 @@ def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError("the archive ends inside a record")
         block = buffer[at : at + n]
         at += n + 4
+        seen += 1
         yield fields, block
 
 
@@ -207,8 +215,10 @@ def _read(archives: DataFrame, bodies: bool) -> DataFrame:
                         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
                     refers = id_of(fields["WARC-Refers-To"]) if kind == "revisit" else None
                     rows.append((id_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, kind, refers, *[payload if kind == "response" else None] * bodies))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["body"] * bodies])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["body"] * bodies]
+                columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(names, ())
+                # ids with nulls among them must not become floats
+                yield pd.DataFrame({n: pd.array(c, "Int64") if n in ("page_id", "refers_to") else list(c) for n, c in columns.items()})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", body binary" * bodies
     return archives.select("payload").mapInPandas(run, schema)
