@@ -161,6 +161,10 @@ class Program:
         """``keys``: array of binary or base58 text."""
         return _instruction_udf(self)(data, keys)
 
+    def events_column(self, lines: Column, inner: Column) -> Column:
+        """array<struct<kind, payload>> of an instruction's events: ``inner``, data of its calls to itself, and its log lines."""
+        return _events_udf(self)(lines, inner)
+
     def account_kind(self, data: Column) -> Column:
         """The kind's name alone, JVM-side: the first discriminator that matches."""
         return _case(self.accounts, data)
@@ -231,6 +235,21 @@ def _instruction_udf(program: Program):
     return run
 
 
+EVENTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("payload", T.StringType())]))
+
+
+def _events_udf(program: Program):
+    @F.pandas_udf(EVENTS)
+    def run(lines: pd.Series, inner: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(lines, inner, strict=True):
+            found = merged_events(program, [bytes(d) for d in ([] if y is None else y)], list([] if x is None else x))
+            out.append([{"kind": k, "payload": json.dumps(v, ensure_ascii=False, separators=(",", ":"))} for k, v in found])
+        return pd.Series(out)
+
+    return run
+
+
 def _frame(rows) -> pd.DataFrame:
     out = [(o, k, None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":")), e) for o, k, v, e in rows]
     return pd.DataFrame(out, columns=["outcome", "kind", "payload", "error"])

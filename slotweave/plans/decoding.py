@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotweave.decode.builtin import PROGRAMS
+from slotweave.decode.ir import Num, Struct
+from slotweave.decode.program import Kind, Match, Program
 from slotweave.functions.encoding import canonical_base64, sint, uint
 from slotweave.plans.transactions import query
+from slotweave.sinks.slots import confluent
 from slotweave.sources import adapters
 
 
@@ -55,3 +58,27 @@ def canonical_base64_check(spark, sf_dir):
     coded = F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     coded = F.when(F.col("doc_id") % 2 == 0, coded).otherwise(F.concat(coded, F.lit(" ")))
     return d.select("doc_id", F.octet_length(canonical_base64(coded)).alias("n"))
+
+
+SHOP = Program("shop", "Shop", events=(Kind("sold", Struct((("user", Num("u64")), ("hour", Num("u32")))), (Match(0, b"\x07"),), skip=1),))
+
+
+@query("SELECT event_id, 1 + CAST(event_id % 2 = 0 AS INTEGER) AS n, user_id AS first_user FROM events WHERE event_type = 'purchase'")
+def event_extraction(spark, sf_dir):
+    """Events of log lines and of wrapped calls, merged one to one: both ways report each, even rows' logs one more."""
+    e = adapters.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    data = lambda n: F.concat(F.lit(b"\x07"), _le(F.col("user_id") + n, 8), F.lit(bytes(4)))
+    line = lambda n: F.concat(F.lit("Program data: "), F.base64(data(n)))
+    foreign = F.array(F.lit("Program Other invoke [2]"), line(5), F.lit("Program Other success"))
+    own = F.when(F.col("event_id") % 2 == 0, F.array(line(0), line(1))).otherwise(F.array(line(0)))
+    lines = F.concat(F.array(F.lit("Program Shop invoke [1]")), own, foreign, F.array(F.lit("Program data: !!"), F.lit("Program Shop success"), line(9)))
+    found = SHOP.events_column(lines, F.array(F.concat(F.lit(SHOP.envelope[0]), data(0))))
+    e = e.select("event_id", found.alias("f"))
+    return e.select("event_id", F.size("f").alias("n"), F.get_json_object(F.col("f")[0]["payload"], "$.user").cast("bigint").alias("first_user"))
+
+
+@query("SELECT event_id, '000000002A00' || hex(encode(event_type)) AS wire FROM events")
+def registry_wire_format(spark, sf_dir):
+    """Payloads behind the schema registry's header."""
+    e = adapters.table(spark, sf_dir, "events")
+    return e.select("event_id", F.hex(confluent(F.encode("event_type", "UTF-8"), 42)).alias("wire"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotweave.operators import resume, slots
+from slotweave.operators.prefilter import BlockPart, SlotPart
 from slotweave.operators.ordered import with_previous, with_running_count
 from slotweave.plans.transactions import WITH, query
-from slotweave.sources import adapters
+from slotweave.sources import adapters, replay
 
 #: The banks and slot events of the adapters in SQL.
 BANKS = (
@@ -200,3 +201,62 @@ def inferred_commits(spark, sf_dir):
     twin = b.where("slot % 2 = 1").withColumn("bank_id", F.col("bank_id") + 4).withColumn("confirmed", F.lit(False))
     b = b.unionByName(twin).select("slot", "bank_id", hash_(F.col("slot")).alias("blockhash"), (F.col("slot") - 1).alias("parent_slot"), hash_(F.col("slot") - 1).alias("parent_blockhash"), F.col("confirmed").alias("committed"))
     return slots.inferred_commits(b).select("slot", F.col("bank_id").alias("bank"))
+
+
+@on_banks("""
+, a AS (SELECT slot, parent, expected, expected - CASE WHEN slot = 1200 THEN 1 ELSE 0 END AS processed, slot % 97 <> 5 OR slot < 1500 AS committed FROM bk),
+live AS (SELECT *, lag(slot) OVER (ORDER BY slot) AS prev FROM a),
+cut AS (SELECT min(slot) AS c FROM live WHERE NOT (processed >= expected AND committed AND (prev IS NULL OR parent <= prev)))
+SELECT slot, processed, CASE WHEN c IS NULL OR slot < c THEN 'flushed' ELSE 'held' END AS state FROM live, cut
+""")
+def account_gated_flush(spark, sf_dir):
+    """Accounts have a gate and a frontier of their own: the frozen number and a commitment."""
+    b = adapters.banks(spark, sf_dir).withColumn("discarded", F.lit(None).cast("string"))
+    b = b.withColumns({"processed": F.col("expected") - F.when(F.col("slot") == 1200, 1).otherwise(0), "committed": (F.col("slot") % 97 != 5) | (F.col("slot") < 1500)})
+    return slots.gated(b, slots.account_gate()).select("slot", "processed", "state")
+
+
+@on_banks("SELECT kind, count(*) AS n FROM ev WHERE kind IN ('view', 'click', 'purchase') GROUP BY kind UNION ALL SELECT 'at_commitment', count(*) FROM ev WHERE kind = 'click'")
+def slot_status_filter(spark, sf_dir):
+    """Statuses by commitment, or all levels; other events stand for statuses between slots."""
+    names = F.create_map(*[F.lit(x) for x in ("view", "processed", "click", "confirmed", "purchase", "finalized", "error", "dead", "signup", "completed")])
+    e = adapters.slot_events(spark, sf_dir).withColumn("status", names[F.col("kind")])
+    levels = e.where(SlotPart(False).column("confirmed")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    one = e.where(SlotPart().column("confirmed")).agg(F.lit("at_commitment").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return levels.unionByName(one)
+
+
+@on_banks("""
+SELECT slot, count(*) FILTER (fee_payer % 10 < 3) AS n, coalesce(CAST(sum(lamports) FILTER (fee_payer % 10 < 3) AS BIGINT), 0) AS lamports FROM tx GROUP BY slot
+""")
+def block_contents(spark, sf_dir):
+    """Blocks with the transactions of some keys; accounts and entries aren't asked for and stay unread."""
+    t = adapters.headers(spark, sf_dir)
+    tx = F.struct(F.array((F.col("fee_payer") % 10).cast("string")).alias("account_keys"), "lamports")
+    blocks = t.groupBy("slot").agg(F.collect_list(tx).alias("transactions")).withColumns({"accounts": F.array(), "entries": F.array()})
+    b = BlockPart(accounts_include=frozenset("012"), include_transactions=True).project(blocks)
+    return b.select("slot", F.size("transactions").cast("bigint").alias("n"), F.aggregate("transactions", F.lit(0).cast("bigint"), lambda a, x: a + x["lamports"]).alias("lamports"))
+
+
+@on_banks("""
+, s AS (SELECT DISTINCT slot FROM tx), p AS (SELECT slot, lag(slot) OVER (ORDER BY slot) AS parent FROM s)
+SELECT unnest(generate_series(parent + 1, slot - 1)) AS slot FROM p WHERE slot - parent > 1
+""")
+def leader_skips(spark, sf_dir):
+    """Slots without a block, between a block and its parent."""
+    b = adapters.banks(spark, sf_dir).where("parent >= 0").select("slot", F.col("parent").alias("parent_slot"))
+    return replay.possible_leader_skips(b)
+
+
+@on_banks("""
+, e AS (SELECT 'account' AS update, CAST(c_custkey AS VARCHAR) AS key, c_nationkey AS owner FROM customer WHERE c_nationkey IN (3, 4, 5)
+        UNION ALL SELECT 'slot', 'finalized', NULL)
+SELECT * FROM e
+""")
+def snapshot_scan(spark, sf_dir):
+    """A snapshot as updates: one finalised status, then the accounts of the owners asked for."""
+    owners = spark.createDataFrame([(3, "p"), (4, "p"), (5, "q")], "owner bigint, parser string").groupBy("owner").agg(F.collect_set("parser").alias("parsers"))
+    a = adapters.accounts(spark, sf_dir).join(F.broadcast(owners), "owner")  # three rows
+    a = a.select(F.lit("account").alias("update"), F.col("pubkey").cast("string").alias("key"), F.col("owner").cast("int").alias("owner"))
+    status = spark.range(1).select(F.lit("slot").alias("update"), F.lit("finalized").alias("key"), F.lit(None).cast("int").alias("owner"))
+    return a.unionByName(status)

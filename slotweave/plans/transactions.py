@@ -283,6 +283,20 @@ def _logs(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", F.transform("t", lambda t: t["x"]).alias("lines"))
 
 
+@query("""
+, c AS (SELECT conv_id, turn, role, sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER w AS up, coalesce(sum(CASE role WHEN 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS down
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, CAST(count(CASE WHEN up - down = 1 THEN 1 END) AS INTEGER) AS direct_lines, CAST(max(up - down) AS INTEGER) AS deepest FROM c
+WHERE conv_id IN (SELECT conv_id FROM c GROUP BY conv_id HAVING min(up - down) >= 0) GROUP BY conv_id
+""")
+def direct_logs(spark, sf_dir):
+    """Lines of the outermost call itself, in logs whose closes never outnumber their opens."""
+    logs = _logs(spark, sf_dir).withColumns({"d": flatten.depths(F.col("lines")), "k": flatten.line_kinds(F.col("lines"))})
+    step = lambda a, x: F.struct((a["d"] + F.when(x == "invoke", 1).when(x == "close", -1).otherwise(0)).alias("d"), F.least(a["low"], a["d"] + F.when(x == "invoke", 1).when(x == "close", -1).otherwise(0)).alias("low"))
+    low = F.aggregate("k", F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), step, lambda a: a["low"])
+    return logs.where(low >= 0).select("conv_id", F.size(flatten.direct_lines(F.col("lines"))).alias("direct_lines"), F.array_max("d").alias("deepest"))
+
+
 @query("""
 SELECT conv_id, CAST(count(CASE role WHEN 'user' THEN 1 END) AS INTEGER) AS invokes, CAST(count(CASE role WHEN 'assistant' THEN 1 END) AS INTEGER) AS closes,
        CAST(count(CASE role WHEN 'system' THEN 1 END) AS INTEGER) AS others

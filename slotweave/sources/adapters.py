@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slotweave.operators.ordered import with_previous
+
 EPOCH = "1995-01-01"
 
 
@@ -98,7 +100,7 @@ def banks(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a tenth of the slots from 2000 on miss a transaction, one in 50 is not confirmed
         (F.count(F.lit(1)) - F.max(F.when((F.col("slot") > 1500) & (F.col("slot") % 10 == 7), 1).otherwise(0))).alias("parsed"),
     )
-    per = per.withColumn("parent", F.coalesce(F.lag("slot").over(Window.orderBy("slot")), F.col("slot") - 1))
+    per = with_previous(per, "slot", name="parent").withColumn("parent", F.coalesce("parent", F.col("slot") - 1))
     why = F.when(F.col("slot") % 23 == 5, "Forked").when(F.col("slot") % 31 == 11, "Dead").when(F.col("slot") % 37 == 3, "Incomplete")
     return per.select("slot", "parent", "expected", "parsed", (F.col("slot") % 50 != 49).alias("confirmed"), why.alias("discarded"))
 
