@@ -6,7 +6,7 @@ found by concentration steps from two deterministic starts (median with MAD, and
 plain mean with covariance): a step keeps the 75 % of the group's documents with the
 least Mahalanobis distance and estimates again; the start that ends with the lesser
 determinant wins. A last reweighted estimate uses all documents within the 97.5 %
-point. A document whose squared distance exceeds ``CUTOFF`` is rejected.
+point. A document whose squared distance exceeds the ``OUTLIER`` point is rejected.
 
 Statistics (``x1`` to ``x4``): log mean word length, and the variance-stabilised
 (arcsine square root) shares of symbols, of repeated lines and of repeated words.
@@ -43,8 +43,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SUBSET, STEPS, MIN_GROUP = 0.75, 4, 40
 DIM = 4
 FLOOR = (0.06**2, 0.08**2, 0.12**2, 0.12**2)
-#: Squared distance: far beyond the 99.99 % point of chi-square with 4 degrees (23.5), since clean text has heavier tails.
-CUTOFF = 40.0
+#: A squared distance above the 99.99 % point of chi-square with 4 degrees (23.5) is an outlier.
+OUTLIER = 0.9999
 ACCURACY = 10_000
 
 
@@ -64,6 +64,9 @@ def _chi4_point(p: float) -> float:
     return lo
 
 
+CUTOFF = _chi4_point(OUTLIER)
+
+
 #: What a covariance of the inner share ``p`` of a normal sample falls short of the whole one's.
 def consistency(p: float) -> float:
     return p / _chi6(_chi4_point(p))
