@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 from slotweave.decode import ir
 from slotweave.decode.program import EVENT_TAG, AccountSpec, Kind, Match, Program
@@ -279,7 +280,7 @@ class _Anchor:
             template = self.generic.get(name)
             if template is None:
                 return ir.Link(camel(name))
-            given = [int(g["value"]) if g["kind"] == "const" else go(g["type"], "generics") for g in d.get("generics") or []]
+            given = [self.constant(g, at) if g["kind"] == "const" or isinstance(g.get("type"), int) else go(g["type"], "generics") for g in d.get("generics") or []]
             inner = {g["name"]: v for g, v in zip(template["generics"], given, strict=True)}
             return self.defined(template["type"], at, inner, depth + 1)
         if "hashMap" in t or "bTreeMap" in t:
@@ -289,6 +290,15 @@ class _Anchor:
             return ir.Items(go(t.get("hashSet") or t["bTreeSet"], "item"), ir.Num("u32"))
         raise IdlError(at, f"no such type: {t}")
 
+    def constant(self, g: dict, at: str) -> int:
+        """A number, as a number or the digits that a text begins with (blanks and a plus aside)."""
+        if isinstance(g.get("type"), int):
+            return g["type"]
+        m = re.match(r"\s*\+?(0[xX][0-9a-fA-F]+|[0-9]+)", str(g.get("value")))
+        if not m:
+            raise IdlError(at, f"no number: {g.get('value')}")
+        return int(m[1], 0) if m[1][:2] in ("0x", "0X") else int(m[1])
+
     def fields(self, fields: list, at: str, env: dict | None = None, depth: int = 0) -> ir.Struct:
         if fields and not (isinstance(fields[0], dict) and "name" in fields[0]):
             return ir.Tuple([self.type(f, f"{at}[{i}]", env, depth + 1) for i, f in enumerate(fields)])
@@ -310,6 +320,9 @@ def from_anchor(doc: dict) -> Program:
     new = "metadata" in doc and "spec" in doc["metadata"]
     b = _Anchor(doc)
     types = {camel(t["name"]): b.defined(t["type"], f"types.{t['name']}") for t in doc.get("types") or [] if t["name"] not in b.generic}
+    for t in doc.get("types") or []:
+        if t["name"] not in b.generic:
+            types[camel(t["name"])] = _laid_out(t, types)
 
     def accounts(items: list, prefix: str = "") -> list[AccountSpec]:
         out = []
@@ -346,6 +359,22 @@ def from_anchor(doc: dict) -> Program:
     return out
 
 
+def _laid_out(t: dict, types: dict[str, ir.Node]) -> ir.Node:
+    """Types that programs map straight from memory have C's padding; Rust's own order is not known."""
+    node = types[camel(t["name"])]
+    if not str(t.get("serialization", "")).startswith("bytemuck") or not isinstance(node, ir.Struct):
+        return node
+    how = t.get("repr") or {}
+    if how.get("packed"):
+        return node
+    if how.get("kind") != "c":
+        raise IdlError(f"types.{t['name']}", "a type in memory without C layout has no known places")
+    try:
+        return ir.c_layout(node, types)
+    except ir.DecodeError as e:
+        raise IdlError(f"types.{t['name']}", str(e)) from e
+
+
 def _distinct(kinds: tuple[Kind, ...]) -> None:
     """One discriminator may not begin another's."""
     tags = sorted((k.match[0].value, k.name) for k in kinds)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -86,6 +86,8 @@ class Program:
     events: tuple[Kind, ...] = ()
     #: Bytes that mark an instruction as a wrapped event, and where the event starts.
     envelope: tuple[bytes, int] = (EVENT_TAG, 8)
+    #: Chooses the kind of an instruction itself: (data, keys) -> its name, or None to go by discriminators.
+    resolver: Callable[[bytes, list[str]], str | None] | None = None
 
     # --- one value -------------------------------------------------------------------------
 
@@ -107,7 +109,8 @@ class Program:
         """Of kinds with one discriminator, that with most accounts that the keys suffice for."""
         if data.startswith(self.envelope[0]) and self.events:
             return "filtered", None, None, None
-        found = [k for k in self.instructions if all(m.holds(data) for m in k.match)]
+        chosen = self.resolver(data, keys) if self.resolver else None
+        found = [k for k in self.instructions if (k.name == chosen if chosen else all(m.holds(data) for m in k.match))]
         if not found:
             return "error", None, None, "no discriminator matches"
         same = [k for k in found if k.match == found[0].match]

@@ -36,7 +36,7 @@ class _Writer:
             if isinstance(node.item, ir.Bytes):
                 return "", "string" if node.item.text and isinstance(node, ir.Prefixed) else "bytes"
             return self.field(node.item, owner, name)
-        if isinstance(node, ir.Hidden):
+        if isinstance(node, ir.Hidden | ir.Pad):
             return self.field(node.item, owner, name)
         if isinstance(node, ir.Num):
             return "", _SCALARS[node.format]
@@ -78,7 +78,7 @@ class _Writer:
                 self.type(kind, x or ir.Struct(()))
                 each.append(f"    {kind} {snake(v)} = {i};")
             self.messages.append(f"message {name} {{\n  oneof kind {{\n" + "\n".join(each) + "\n  }\n}")
-        elif isinstance(node, ir.Hidden | ir.Sized | ir.Prefixed) and not isinstance(node.item, ir.Bytes):
+        elif isinstance(node, ir.Hidden | ir.Pad | ir.Sized | ir.Prefixed) and not isinstance(node.item, ir.Bytes):
             self.type(name, node.item)
         else:
             self.message(name, [("value", *self.field(node, name, "value"))])
@@ -124,7 +124,7 @@ def _tagged(number: int, wire: int, body: bytes) -> bytes:
 
 def encode(node: ir.Node, value, types: dict[str, ir.Node]) -> bytes:
     """A message's bytes from a decoded value; fields at their default are left out."""
-    while isinstance(node, ir.Link | ir.Hidden):
+    while isinstance(node, ir.Link | ir.Hidden | ir.Pad):
         node = types[node.name] if isinstance(node, ir.Link) else node.item
     if isinstance(node, ir.Struct):
         return b"".join(field(i, x, value[n], types) for i, (n, x) in enumerate(node.fields, 1))
@@ -138,7 +138,7 @@ def field(number: int, node: ir.Node, value, types: dict[str, ir.Node], shown: b
     """``shown``: written even at its default, as in lists and options."""
     if isinstance(node, ir.Link):
         return field(number, types[node.name], value, types, shown)
-    if isinstance(node, ir.Hidden):
+    if isinstance(node, ir.Hidden | ir.Pad):
         return field(number, node.item, value, types, shown)
     if isinstance(node, ir.Option | ir.ZeroOption):
         return b"" if value is None else field(number, node.item, value, types, True)

@@ -112,6 +112,32 @@ def records(dispatched: DataFrame, key: Column, head: Column, raw: Column) -> Da
     )
 
 
+def raw_instruction() -> Column:
+    """An undecoded instruction as JSON: the fallback record's value. Null fields are left out."""
+    b58 = lambda c: F.hex(c)  # noqa: E731  (keys stay hex here: base58 is for display)
+    return F.to_json(
+        F.struct(
+            text("slot").alias("slot"), b58("signature").alias("signature"), "ix_index", b58("program").alias("program"),
+            F.transform("accounts", b58).alias("accounts"), F.base64("data").alias("data"), F.col("error").alias("parse_error"),
+        )
+    )
+
+
+def raw_account() -> Column:
+    """An undecoded account as JSON."""
+    return F.to_json(
+        F.struct(
+            text("slot").alias("slot"), F.hex("pubkey").alias("pubkey"), F.hex("owner").alias("owner"), text("lamports").alias("lamports"),
+            text("write_version").alias("write_version"), F.base64("data").alias("data"), F.col("error").alias("parse_error"),
+        )
+    )
+
+
+def marker(kind: str, *counts: str) -> Column:
+    """A commit marker as JSON: slot, blockhash if there is one, counters. Watermarks have no counters."""
+    return F.to_json(F.struct(F.lit(kind).alias("marker"), "slot", *counts))
+
+
 def metrics(dispatched: DataFrame, kind: str | Column) -> DataFrame:
     """Counters by update kind: received, parsed, filtered, parse errors, fallbacks."""
     k = F.lit(kind) if isinstance(kind, str) else kind

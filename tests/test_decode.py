@@ -121,7 +121,7 @@ def test_fixed_addresses():
 
 ANCHOR = {
     "address": "Dex1", "metadata": {"name": "my_dex", "spec": "0.1.0"},
-    "instructions": [{"name": "swap", "discriminator": [1] * 8, "accounts": [{"name": "user"}], "args": [{"name": "amount_in", "type": "u64"}, {"name": "p", "type": {"defined": {"name": "Pair", "generics": [{"kind": "type", "type": "u8"}, {"kind": "const", "value": "2"}]}}}]}],
+    "instructions": [{"name": "swap", "discriminator": [1] * 8, "accounts": [{"name": "user"}], "args": [{"name": "amount_in", "type": "u64"}, {"name": "p", "type": {"defined": {"name": "Pair", "generics": [{"kind": "type", "type": "u8"}, {"kind": "const", "value": " +2 x"}]}}}]}],
     "accounts": [{"name": "Pool", "discriminator": [2] * 8}], "events": [{"name": "Swapped", "discriminator": [3] * 8}],
     "types": [
         {"name": "Pool", "type": {"kind": "struct", "fields": [{"name": "owner", "type": "pubkey"}, {"name": "fee", "type": {"option": "u16"}}]}},
@@ -210,3 +210,27 @@ def test_outcomes_as_columns(spark):
     assert int(typed[0]) == 2**64 - 1 and typed[1] == enc.b58encode(b"\1" * 32)
     kinds = df.where("data is not null").select(TOKEN.instruction_kind(F.col("data"))).collect()
     assert [r[0] for r in kinds] == ["Transfer", "Transfer"]
+
+
+def test_c_layout():
+    def program(**more):
+        fields = [{"name": "a", "type": "u8"}, {"name": "b", "type": "u64"}, {"name": "k", "type": "pubkey"}, {"name": "c", "type": "u16"}]
+        t = {"name": "Pool", "serialization": "bytemuck", "repr": {"kind": "c"}, "type": {"kind": "struct", "fields": fields}} | more
+        return idl.load({**ANCHOR, "instructions": [], "events": [], "types": [t]})
+
+    body = b"\5" + bytes(7) + (9).to_bytes(8, "little") + bytes(32) + b"\7\0" + bytes(6)
+    want = {"a": 5, "b": 9, "k": "1" * 32, "c": 7}
+    assert program().account(b"\2" * 8 + body)[2] == want
+    assert program().account(b"\2" * 8 + body[:-1])[0] == "error"
+    packed = body[:1] + body[8:-6]
+    assert program(repr={"kind": "c", "packed": True}).account(b"\2" * 8 + packed)[2] == want
+    with pytest.raises(idl.IdlError, match="no known places"):
+        program(repr={"kind": "rust"})
+    with pytest.raises(idl.IdlError, match="no fixed size"):
+        program(type={"kind": "struct", "fields": [{"name": "v", "type": {"vec": "u8"}}]})
+
+
+def test_resolver():
+    p = idl.load(json.dumps(NODES))
+    p.resolver = lambda data, keys: "large" if data == b"zz" else None
+    assert p.instruction(b"\7", ["x"])[1] == "small" and p.instruction(b"zz", list("abc"))[1] == "large"

@@ -124,3 +124,39 @@ def test_config():
     for bad in ("[other]\nx = 1", "[sink]\nnope = 1"):
         with pytest.raises(ValueError, match="unknown"):
             config.load(bad)
+
+
+def test_tap():
+    own = Prefilter.builder().block_include_entries(True).block_footers(True).account_owners({"o"}).build()
+    t = feed.tapped(Filters({"p": own}))
+    assert t.by_id["p"].block is None and t.by_id["p"].block_footer is None and t.by_id["p"].account
+    assert t.by_id["coordinator"].slot.interslot_updates and t.by_id["coordinator"].block_meta
+    with pytest.raises(PrefilterError):
+        feed.tapped(Filters({"coordinator": own}))
+    b = feed.BankIds()
+    b.check(1, 7)
+    b.check(1, 7)
+    with pytest.raises(ValueError, match="slots 1 and 2"):
+        b.check(2, 7)
+    b.check(1, 0)
+    with pytest.raises(ValueError, match="missing"):
+        b.check(2, 0)
+
+
+def test_blocks_and_markers(spark):
+    from pyspark.sql import functions as F
+
+    from slotweave.operators import blocks, dispatch
+
+    b = spark.createDataFrame([(1, 0, [("k", 5, 9, 1, "x")], "big"), (2, 0, [], "big")], "slot bigint, bank_id bigint, rewards array<struct<pubkey:string,lamports:bigint,post_balance:bigint,reward_type:int,commission:string>>, transactions string")
+    assert blocks.block_meta(b).columns[:2] == ["slot", "bank_id"] and "transactions" not in blocks.block_meta(b).columns
+    assert [(r.slot, r.lamports) for r in blocks.rewards(b).collect()] == [(1, 5)]
+    s = spark.createDataFrame([(1, 0, "processed"), (1, 0, "finalized"), (1, 0, "dead"), (2, 0, "dead")], "slot bigint, bank_id bigint, status string")
+    assert [tuple(r) for r in blocks.highest_commitment(s).collect()] == [(1, 0, "finalized")]
+    kinds = blocks.parallel_kinds({"slot": s, "block": b}, {"p": {"slot"}, "q": {"slot", "x"}})
+    assert list(kinds) == ["slot"] and kinds["slot"].first().filters == ["p", "q"]
+    a = spark.createDataFrame([(1, b"\1", b"\2", 5, 6, b"hi", None)], "slot bigint, pubkey binary, owner binary, lamports bigint, write_version bigint, data binary, error string")
+    assert a.select(dispatch.raw_account()).first()[0] == '{"slot":"1","pubkey":"01","owner":"02","lamports":"5","write_version":"6","data":"aGk="}'
+    m = spark.createDataFrame([(4, None, 2)], "slot bigint, blockhash string, decoded bigint")
+    assert m.select(dispatch.marker("commit", "blockhash", "decoded")).first()[0] == '{"marker":"commit","slot":4,"decoded":2}'
+    assert m.select(F.get_json_object(dispatch.marker("watermark"), "$.slot")).first()[0] == "4"
