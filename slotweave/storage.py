@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str = "t") -> DataFrame:
+def stored(df: DataFrame, what: str = "t", row_group: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and reread it.
 
-    Cuts the lineage: what is read later survives the loss of any executor.
+    Cuts the lineage: what is read later survives the loss of any executor. ``row_group``:
+    bytes of a row group, for tables whose rows take long to work on: a file can then be
+    split among tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/slotweave-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
