@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from slotweave.streaming.machine import Event, SlotMachine
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENTS = "chain string, ingest bigint, kind string, slot bigint, bank bigint, parent bigint, expected bigint, key string, payload string, decoded boolean"
+EVENTS = "chain string, ingest bigint, kind string, slot bigint, bank bigint, parent bigint, expected bigint, key string, payload string, decoded boolean, entries bigint, executed bigint"
 OUTPUT = "chain string, kind string, slot bigint, bank bigint, key string, payload string, counts string"
 
 
@@ -33,7 +33,7 @@ class SlotProcessor(StatefulProcessor):
         out = []
         for r in events.itertuples(index=False):
             number = lambda x: None if _none(x) is None else int(x)
-            e = Event(r.kind, int(r.slot), number(r.bank), number(r.parent), number(r.expected), _none(r.key), _none(r.payload), _none(r.decoded) is not False)
+            e = Event(r.kind, int(r.slot), number(r.bank), number(r.parent), number(r.expected), _none(r.key), _none(r.payload), _none(r.decoded) is not False, number(r.entries), number(r.executed))
             out += [(key[0], o.kind, o.slot, o.bank, o.key, o.payload, json.dumps(o.counts) if o.counts else None) for o in machine.apply(e)]
         self.state.update((json.dumps(machine.state()),))
         frame = pd.DataFrame(out, columns=["chain", "kind", "slot", "bank", "key", "payload", "counts"])

@@ -14,7 +14,7 @@ PENDING_LIMIT, RETAIN = 64, 512
 
 @dataclass
 class Event:
-    """kind: meta (parent, expected), record (key, payload, decoded), stat (key: what to count), tx_parsed, confirm, discard (key: reason)."""
+    """kind: created, entry (key: index, executed), meta (parent, expected, and entries with executed where entries are watched), record (key, payload, decoded), stat (key: what to count), tx_parsed, confirm, discard (key: reason)."""
 
     kind: str
     slot: int
@@ -24,6 +24,8 @@ class Event:
     key: str | None = None
     payload: str | None = None
     decoded: bool = True
+    entries: int | None = None
+    executed: int | None = None
 
 
 @dataclass
@@ -39,8 +41,11 @@ class Out:
 
 
 class SlotMachine:
-    def __init__(self, state: dict | None = None):
+    """``whole_start``: the first slot counts only if the stream saw it from its creation and first entry on."""
+
+    def __init__(self, state: dict | None = None, whole_start: bool = False):
         s = state or {}
+        self.whole_start: bool = s.get("whole_start", whole_start)
         self.frontier: int | None = s.get("frontier")
         self.first: int | None = s.get("first")
         #: slot -> bank -> {parent, expected, parsed, confirmed, records, stats}
@@ -52,7 +57,7 @@ class SlotMachine:
         self.failed: str | None = s.get("failed")
 
     def state(self) -> dict:
-        return {"frontier": self.frontier, "first": self.first, "slots": self.slots, "gone": self.gone, "dead": self.dead, "failed": self.failed}
+        return {"whole_start": self.whole_start, "frontier": self.frontier, "first": self.first, "slots": self.slots, "gone": self.gone, "dead": self.dead, "failed": self.failed}
 
     def apply(self, e: Event) -> list[Out]:
         """Outputs of one event. After a fatal error nothing more comes out."""
@@ -69,7 +74,7 @@ class SlotMachine:
             return [Out("dropped", e.slot, e.bank, e.key)] if e.kind == "record" else []
         if self.first is None or e.slot < self.first:
             self.first = e.slot
-        b = self.slots.setdefault(e.slot, {}).setdefault(e.bank, {"parent": None, "expected": None, "parsed": 0, "confirmed": False, "records": {}, "stats": {}})
+        b = self.slots.setdefault(e.slot, {}).setdefault(e.bank, {"parent": None, "expected": None, "parsed": 0, "confirmed": False, "records": {}, "stats": {}, "created": False, "entries": {}, "watched": None})
         if e.kind == "meta":
             known = (b["parent"], b["expected"])
             if known != (None, None) and known != (e.parent, e.expected):
@@ -77,6 +82,11 @@ class SlotMachine:
             if e.parent is not None and e.parent >= e.slot:
                 return []  # malformed
             b["parent"], b["expected"] = e.parent, e.expected
+            b["watched"] = None if e.entries is None else [e.entries, e.executed]
+        elif e.kind == "created":
+            b["created"] = True
+        elif e.kind == "entry":
+            b["entries"][e.key] = e.executed or 0  # a repeat counts once
         elif e.kind == "record":
             b["records"][e.key] = [e.payload, e.decoded]  # the last of a key wins
         elif e.kind == "stat":
@@ -117,6 +127,10 @@ class SlotMachine:
         while self.slots:
             slot = min(self.slots)
             bank = next(((k, x) for k, x in self.slots[slot].items() if x["confirmed"]), None)
+            if bank is not None and (self._overshot(bank[1]) or self._cut_start(slot, bank[1])):
+                del self.slots[slot]
+                self.gone[slot] = "Incomplete"
+                continue
             if bank is None or not self._ready(slot, bank[1]):
                 break
             k, x = bank
@@ -133,9 +147,20 @@ class SlotMachine:
                     del old[s]
         return out
 
+    @staticmethod
+    def _overshot(x: dict) -> bool:
+        """More entries or transactions than the metadata says: what came can't be trusted."""
+        return x["watched"] is not None and (len(x["entries"]) > x["watched"][0] or sum(x["entries"].values()) > x["watched"][1])
+
+    def _cut_start(self, slot: int, x: dict) -> bool:
+        return self.whole_start and self.frontier is None and slot == self.first and not (x["created"] and "0" in x["entries"])
+
     def _ready(self, slot: int, x: dict) -> bool:
         if x["expected"] is None or x["parsed"] < x["expected"]:
             return False
+        # a bank that froze early waits for its late entries
+        if x["watched"] is not None and [len(x["entries"]), sum(x["entries"].values())] != x["watched"]:
+            return False
         parent = x["parent"]
         if parent is None:
             return False

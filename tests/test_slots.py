@@ -97,6 +97,26 @@ def test_conflicts_and_limit():
     assert not committed(run(Event("meta", 10, parent=10, expected=0), Event("confirm", 10))[0])
 
 
+def test_late_entries_hold_and_overshoot_drops():
+    e = [Event("meta", 10, parent=9, expected=0, entries=2, executed=3), Event("confirm", 10), Event("entry", 10, key="0", executed=1)]
+    out, _ = run(*e)
+    assert not committed(out)
+    out, _ = run(*e, Event("entry", 10, key="0", executed=1), Event("entry", 10, key="1", executed=2))
+    assert committed(out) == [10]
+    out, m = run(*e, Event("entry", 10, key="1", executed=9), *full(11, parent=10))
+    assert committed(out) == [11] and m.gone == {10: "Incomplete"}
+
+
+def test_start_within_a_slot():
+    def go(*events):
+        m = SlotMachine(whole_start=True)
+        return committed([o for e in events for o in m.apply(e)])
+
+    cut = [Event("entry", 10, key="5", executed=0), Event("meta", 10, parent=9, expected=0), Event("confirm", 10)]
+    whole = [Event("created", 10), Event("entry", 10, key="0", executed=0), Event("meta", 10, parent=9, expected=0), Event("confirm", 10)]
+    assert go(*whole) == [10] and go(*cut, *full(11, parent=10)) == [11]
+
+
 def _scenario(seed):
     """Banks in random states, as a table and as events in random order of arrival within slots."""
     rng = random.Random(seed)
@@ -177,7 +197,7 @@ def test_resume(spark):
     assert sorted((x.slot, x.final) for x in resume.passthrough_markers(w).collect()) == [(3, False), (5, False), (8, True)]
 
 
-EVENTS = [("c", i, e.kind, e.slot, e.bank, e.parent, e.expected, e.key, e.payload, e.decoded) for i, e in enumerate([*full(10, records=[("1.1", "a")]), *full(12, parent=10), Event("discard", 11, None, key="Dead"), *full(11)])]
+EVENTS = [("c", i, e.kind, e.slot, e.bank, e.parent, e.expected, e.key, e.payload, e.decoded, e.entries, e.executed) for i, e in enumerate([*full(10, records=[("1.1", "a")]), *full(12, parent=10), Event("discard", 11, None, key="Dead"), *full(11)])]
 
 
 def test_stream_and_sink(spark, tmp_path):
