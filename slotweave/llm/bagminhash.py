@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, small, stored, table
-from .pieces import codes, mixed, span_hashes
+from .pieces import codes, mixed, release, span_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -187,6 +187,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("row long, k1 long, k2 long, n long, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = pc.struct_field(b.column(0), "text").to_pylist()

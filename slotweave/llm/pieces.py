@@ -20,7 +20,9 @@ import numpy as np
 END_TEXT = "<|endoftext|>"
 END_ID = 50256
 #: Pieces kept in a worker's memory; beyond it the store starts anew (a bound on memory, not on results).
-KEPT = 3_000_000
+KEPT = 500_000
+#: New pieces that are gathered before they are merged into the sorted ones.
+PENDING = 100_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _CONTRACTIONS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -156,7 +158,9 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # hashes of known pieces in order, with their places; new ones wait in a small dict
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pending: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint16)
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.known = 0
@@ -168,6 +172,27 @@ class Pieces:
             setattr(self, name, x)
         return x
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of pieces by their sorted hashes; -1 where a piece is new."""
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[i] == keys
+            out[hit] = self.where[i[hit]]
+        if self.pending:
+            rest = np.flatnonzero(out < 0)
+            out[rest] = np.fromiter(map(self.pending.get, keys[rest].tolist(), repeat(-1)), np.int64, len(rest))
+        return out
+
+    def _remember(self, keys: np.ndarray, places: np.ndarray) -> None:
+        self.pending.update(zip(keys.tolist(), places.tolist(), strict=True))
+        if len(self.pending) > PENDING:
+            n = len(self.pending)
+            keys = np.concatenate([self.keys, np.fromiter(self.pending.keys(), np.uint64, n)])
+            where = np.concatenate([self.where, np.fromiter(self.pending.values(), np.int32, n)])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.where, self.pending = keys[order], where[order], {}
+
     def _add(self, pieces: list[str]) -> None:
         one = self.core.encode_single_piece
         ids: list[int] = []
@@ -193,15 +218,14 @@ class Pieces:
         ends = np.append(starts[1:], len(cp)) if len(starts) else starts
         h = span_hashes(cp, starts, ends)
         unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        place = self._places(unique)
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             joined = "".join(texts)
             a, b = starts[where[fresh]].tolist(), ends[where[fresh]].tolist()
             place[fresh] = np.arange(self.known, self.known + len(fresh))
             self._add([joined[x:y] for x, y in zip(a, b, strict=True)])
-            self.place.update(zip(unique[fresh].tolist(), place[fresh].tolist(), strict=True))
+            self._remember(unique[fresh], place[fresh])
         return place[back], per
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +261,11 @@ def shared(ranks_path: str | None = None) -> Pieces:
     return Pieces(ranks_path)
 
 
+def release() -> None:
+    """Gives the store's memory back, for a worker that goes on to work without pieces."""
+    shared.cache_clear()
+
+
 def encode_texts(texts: list[str | None], ranks_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their numbers per text (null: none), special strings as the library takes them by default."""
     texts = [t or "" for t in texts]

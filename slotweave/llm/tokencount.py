@@ -42,7 +42,7 @@ class PrefixTable(Pieces):
     def _fits(self, a: bytes, b: bytes) -> bool:
         known = self.beside.get((a, b))
         if known is None:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > 500_000:
                 self.beside.clear()
             known = self.beside[a, b] = self.core.encode_single_piece(a + b) == [self.rank[a], self.rank[b]]
         return known
