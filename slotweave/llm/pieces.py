@@ -152,6 +152,8 @@ def _contract(cp, kind, start, first, at, marks) -> None:
 class Pieces:
     """Token ids of pieces, kept from batch to batch in one worker."""
 
+    most = KEPT
+
     def __init__(self, ranks_path: str | None = None):
         self.enc = encoding(ranks_path)
         self.core = self.enc._core_bpe
@@ -210,7 +212,7 @@ class Pieces:
 
     def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the store's place of every piece, number of pieces of every text)."""
-        if self.known > KEPT:
+        if self.known > self.most:
             self.clear()
         cp, at = codes(texts)
         starts = split(cp, at)

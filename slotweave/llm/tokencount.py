@@ -33,6 +33,9 @@ LIMIT = 1024
 class PrefixTable(Pieces):
     """For each known piece: the exact token count of each of its byte prefixes."""
 
+    #: The programme is slow for a new piece, so more are kept: some 60 bytes each.
+    most = 3_000_000
+
     def __init__(self, ranks_path: str | None = None):
         super().__init__(ranks_path)
         self.rank = {self.enc.decode_single_token_bytes(i): i for i in range(self.enc.n_vocab - 1)}
@@ -42,7 +45,7 @@ class PrefixTable(Pieces):
     def _fits(self, a: bytes, b: bytes) -> bool:
         known = self.beside.get((a, b))
         if known is None:
-            if len(self.beside) > 500_000:
+            if len(self.beside) > 1_000_000:
                 self.beside.clear()
             known = self.beside[a, b] = self.core.encode_single_piece(a + b) == [self.rank[a], self.rank[b]]
         return known
