@@ -106,6 +106,23 @@ def test_score_operator(corpus, corpus_rows, monkeypatch):
     assert all(max(s) - min(s) < 1e-2 for s in by_text.values())
 
 
+def test_fit_learns_from_all_training_documents(corpus, monkeypatch):
+    """Without a sample to start from, the model still learns, from every token once."""
+    monkeypatch.setattr(lm, "training_sample", lambda *a: (np.zeros(0, np.int16), np.zeros(0, np.int64)))
+    chunks_ = lm.prepared(corpus)
+    start = lm.Attention(lm.bigram_counts(chunks_, lm.Spelling(lm.id_counts(chunks_))), 0)
+    got, spelling = lm.fit(chunks_)
+    want, loss = 0, [0.0, 0.0]
+    for b in chunks_.toArrow().to_batches():
+        for _, held, ids, n in lm._documents(b):
+            x, y, m = lm.inputs_and_targets(*spelling(ids[np.repeat(~held, n)], n[~held]), spelling.end)
+            want += len(x)
+            for i, a in enumerate((start, got)):
+                loss[i] -= a.score(x, y, m).sum()
+    assert loss[1] < loss[0]
+    assert lm.whole_pass(chunks_, got, spelling)[1] == want
+
+
 def test_score_edges(edge, nothing):
     got = lm.score(edge).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == sorted(base_scores(edge_rows()))
