@@ -42,7 +42,8 @@ GRAM = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SUBSET, STEPS, MIN_GROUP = 0.75, 4, 40
 DIM = 4
-FLOOR = (0.06**2, 0.08**2, 0.12**2, 0.12**2)
+#: That of the symbols is about the sampling noise of a share in 300 characters.
+FLOOR = (0.06**2, 0.03**2, 0.12**2, 0.12**2)
 #: A squared distance above the 99.99 % point of chi-square with 4 degrees (23.5) is an outlier.
 OUTLIER = 0.9999
 ACCURACY = 10_000

@@ -63,6 +63,19 @@ def test_outliers(spark):
     assert sum(kept) >= 0.99 * len(kept) and len(kept) > 300
 
 
+def test_symbol_junk_is_found_and_clean_text_kept(spark):
+    rng = random.Random(5)
+    split = lambda t, k, mark: " ".join(w + mark * (i % k == k - 1) for i, w in enumerate(t.split()))
+    clean = [prose(rng, rng.randrange(40, 300)) for _ in range(400)]
+    clean[:40] = [split(t, 60, " #") for t in clean[:40]]  # a sign now and then is no junk
+    junk = [split(prose(rng, 120), 2, " |") for _ in range(20)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(clean + junk)]
+    got = {r.doc_id: r for r in quality.measure(documents(spark, rows)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(400, 420))
+    fit = [got[i].kept for i in range(400) if not got[i].base_failed]
+    assert sum(fit) >= 0.99 * len(fit) and len(fit) > 300
+
+
 def test_no_python(edge):
     plan = quality.measure(edge)._jdf.queryExecution().toString() + mixing.mix(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
