@@ -19,7 +19,8 @@ columns. A narrow table (id, counts, vector) is written once; the steps then onl
 aggregate it: sums and mergeable quantile sketches, one row per group.
 
 Groups of fewer than ``MIN_GROUP`` documents are pooled by language; if that pool is
-smaller still, its documents get no verdict and are kept.
+smaller still, its documents are judged by the whole language, and where that is too
+small, by all documents, however few. Every document thus gets a verdict.
 
 Edge cases: a null or empty text has no words, so it fails the base rules; null
 language or source is a value of its own; repeated rows each get their row; an empty
@@ -186,13 +187,22 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ok = base.where(~F.col("base_failed"))
     size = stored(ok.groupBy("_gl", "_gs").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     n_groups = size.count()
-    small_pool = size.where(F.col("_n") < MIN_GROUP).groupBy("_gl").agg(F.sum("_n").alias("_pool"))
-    names = size.join(small_pool, "_gl", "left").select(
+    of_lang = size.groupBy("_gl").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_n") < MIN_GROUP, F.col("_n"))).alias("_pool"))
+    lacks = F.coalesce(F.col("_pool") < MIN_GROUP, F.lit(False))  # some documents of the language need more than their pool
+    of_lang = of_lang.withColumn("_wide", F.when(lacks & (F.col("_all") >= MIN_GROUP), "L").when(lacks, "a"))
+    every = of_lang.agg(F.coalesce(F.bool_or(F.col("_wide") == "a"), F.lit(False)).alias("_every"))
+    whole = F.when(F.col("_wide") == "L", F.concat(F.lit("L"), F.col("_gl")))
+    narrow = F.when(F.col("_n") >= MIN_GROUP, F.concat(F.lit("s"), F.col("_gs"))).when(F.col("_pool") >= MIN_GROUP, F.concat(F.lit("l"), F.col("_gl")))
+    names = size.join(small(of_lang, n_groups), "_gl").crossJoin(F.broadcast(every)).select(  # one row
         "_gs",
-        F.when(F.col("_n") >= MIN_GROUP, F.concat(F.lit("s"), F.col("_gs"))).when(F.col("_pool") >= MIN_GROUP, F.concat(F.lit("l"), F.col("_gl"))).alias("g"),
+        F.coalesce(narrow, whole, F.lit("a")).alias("g"),
+        F.array_compact(F.array(narrow, whole, F.when(F.col("_every"), "a"))).alias("_in"),
     )
-    rows = stored(ok.join(small(names, n_groups), "_gs").where(F.col("g").isNotNull()).select("g", *X), "vectors")
-    est = estimates(rows, n_groups)
+    names = stored(names, "groups")
+    # a document counts in every group that someone is judged by
+    rows = stored(ok.join(small(names, n_groups), "_gs").select(F.explode("_in").alias("g"), *X), "vectors")
+    names = names.drop("_in")
+    est = estimates(rows, 2 * n_groups + 1)
     known = names.join(est, "g", "left").withColumn("g", F.coalesce("g", F.lit("")))
     d = _distance(base.join(small(known, n_groups), "_gs", "left"))
     out = F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))

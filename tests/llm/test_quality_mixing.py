@@ -76,6 +76,17 @@ def test_symbol_junk_is_found_and_clean_text_kept(spark):
     assert sum(fit) >= 0.99 * len(fit) and len(fit) > 300
 
 
+def test_small_groups_get_a_verdict(spark):
+    """By the whole language where the small pool is too small, else by all documents."""
+    rng = random.Random(6)
+    junk = " ".join(f"{'#$%' * 3}{i}" for i in range(90))
+    rows = [(i, prose(rng, 200), "en", "a", 0) for i in range(200)]
+    few = [(1000, prose(rng, 200), "en", "b", 0), (1001, junk, "en", "b", 0), (1002, prose(rng, 200), None, "a", 0), (1003, junk, None, None, 0)]
+    got = {r.doc_id: r for r in quality.measure(documents(spark, rows + few)).collect()}
+    assert [got[i].kept for i in range(1000, 1004)] == [True, False, True, False]
+    assert all(r.distance2 is not None for r in got.values() if not r.base_failed) and len(got) == 204
+
+
 def test_no_python(edge):
     plan = quality.measure(edge)._jdf.queryExecution().toString() + mixing.mix(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
