@@ -2,16 +2,19 @@
 
 The pattern of the vocabulary cuts a text into pieces, and BPE never crosses a piece's
 border. Real text repeats its pieces, so a batch of texts is cut with array operations,
-each distinct piece is looked up by a 64-bit hash (with its length), and only pieces new
-to the worker are tokenized. Results are the library's own: ``tests`` compare them.
+each distinct piece is looked up by a 64-bit hash, and only pieces new to the worker are
+tokenized, by the tokenizers library's own BPE. A hit counts only if its code points are
+those that are stored, so no result rests on the hash.
 
 Classes of code points (letter, number, white space, other) come from a table made with
-the ``regex`` module, so they agree with the pattern's ``\\p{L}``, ``\\p{N}`` and ``\\s``.
+the ``regex`` module. Where Unicode's versions may differ (``_doubts``), the text is cut
+by the library's own pre-tokenizer.
 """
 
 from __future__ import annotations
 
-import base64
+import hashlib
+import os
 from functools import lru_cache
 from itertools import repeat
 
@@ -24,9 +27,10 @@ KEPT = 500_000
 #: New pieces that are gathered before they are merged into the sorted ones.
 PENDING = 100_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+#: Spans of more values are hashed one by one.
+LONG = 64
 _CONTRACTIONS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+_K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
 @lru_cache(maxsize=1)
@@ -45,20 +49,25 @@ def classes() -> np.ndarray:
     return out
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+@lru_cache(maxsize=1)
+def _doubts() -> np.ndarray:
+    """Code points whose class isn't the one that Unicode 3.2 gave them: newer tables differ there."""
+    from unicodedata import ucd_3_2_0
+
+    kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
+    then = np.fromiter((kinds.get(ucd_3_2_0.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    then[9:14] = SPACE
+    return then != classes()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash's multiplier and of its inverse modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        with np.errstate(over="ignore"):
-            a, b = np.full(size, _P), np.full(size, _PINV)
-            a[0] = b[0] = 1
-            _powers, _inverse = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _powers[:n], _inverse[:n]
+def doubtful(texts: list[str]) -> list[int]:
+    """Which of the texts hold a code point of doubtful class."""
+    some = [i for i, t in enumerate(texts) if not t.isascii()]
+    if not some:
+        return []
+    cp, at = codes([texts[i] for i in some])
+    hit = np.flatnonzero(_doubts()[cp])
+    return [some[k] for k in np.unique(np.searchsorted(at, hit, side="right") - 1).tolist()] if len(hit) else []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,16 +90,43 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``values[start:end]`` for each span; equal spans have equal hashes."""
-    n = len(values)
-    p, inv = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    """A 64-bit hash of ``values[start:end]`` for each span; equal spans have equal hashes.
+
+    Value by value, each step multiplies and shifts what is there so far: no sum over
+    places that other values could cancel. Long spans are hashed by BLAKE2b.
+    """
+    n = ends - starts
+    h = n.astype(np.uint64) * _K2 + _K3
+    for i in np.flatnonzero(n > LONG).tolist():
+        data = values[starts[i] : ends[i]].astype("<u8").tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+    size = np.where(n > LONG, 0, n).astype(np.uint8)
+    order = np.argsort(LONG - size, kind="stable")
+    at, now = starts[order], h[order]
+    longer = len(n) - np.cumsum(np.bincount(size, minlength=LONG + 1))
+    for k in range(LONG):
+        m = int(longer[k])
+        if not m:
+            break
+        x = now[:m]
+        x ^= values[at[:m] + k].astype(np.uint64) * _K1
+        x *= _K2
+        x ^= x >> np.uint64(32)
+    h[order] = now
     return mixed(h)
 
 
+def differing(values: np.ndarray, starts: np.ndarray, n: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which spans ``values[start:start + n]`` are not ``other[at:at + n]``."""
+    out = np.zeros(len(n), bool)
+    ends = np.cumsum(n)
+    inside = np.arange(int(ends[-1]) if len(n) else 0) - np.repeat(ends - n, n)
+    wrong = values[inside + np.repeat(starts, n)] != other[inside + np.repeat(at, n)]
+    if wrong.any():
+        out[np.searchsorted(ends, np.flatnonzero(wrong), side="right")] = True
+    return out
+
+
 def split(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where pieces start in the joined code points ``cp`` of texts that start at ``at``.
 
@@ -149,14 +185,48 @@ def _contract(cp, kind, start, first, at, marks) -> None:
     # white space behind keeps its own cuts; a letter run that follows starts a new piece, which was set above
 
 
+@lru_cache(maxsize=1)
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in the vocabulary: itself where it is printable, else the next free one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+class Library:
+    """The tokenizers library's vocabulary, pre-tokenizer and BPE."""
+
+    def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.model, self.cutter = self.whole.model, self.whole.pre_tokenizer
+        signs = _byte_signs()
+        self.signs = {b: c for b, c in enumerate(signs)}
+        byte_of = {c: b for b, c in enumerate(signs)}
+        special = self.whole.get_added_tokens_decoder()
+        #: bytes of each id; of special ones, their text's
+        self.bytes_of = {i: special[i].content.encode() if i in special else bytes(byte_of[c] for c in t) for t, i in self.whole.get_vocab().items()}
+        self.id_of = {b: i for i, b in self.bytes_of.items() if i not in special}
+
+    def ids(self, piece: bytes) -> list[int]:
+        """Ids of one piece's bytes."""
+        return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.signs))]
+
+    def cuts(self, text: str) -> list[int]:
+        """Where the library's own pre-tokenizer starts a piece."""
+        return [a for _, (a, _) in self.cutter.pre_tokenize_str(text)]
+
+
 class Pieces:
     """Token ids of pieces, kept from batch to batch in one worker."""
 
     most = KEPT
 
-    def __init__(self, ranks_path: str | None = None):
-        self.enc = encoding(ranks_path)
-        self.core = self.enc._core_bpe
+    def __init__(self, path: str | None = None):
+        self.library = Library(path)
         self.clear()
 
     def clear(self) -> None:
@@ -165,7 +235,9 @@ class Pieces:
         self.pending: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint16)
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = self.known = 0
+        #: the code points of each piece
+        self.signs, self.sign_at, self.sign_n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.known = self.signs_used = 0
 
     def _room(self, name: str, need: int) -> np.ndarray:
         x = getattr(self, name)
@@ -195,72 +267,107 @@ class Pieces:
             order = np.argsort(keys, kind="stable")
             self.keys, self.where, self.pending = keys[order], where[order], {}
 
-    def _add(self, pieces: list[str]) -> None:
-        one = self.core.encode_single_piece
-        ids: list[int] = []
-        counts = []
-        for piece in pieces:
-            got = one(piece.encode("utf-8", "replace"))
-            ids += got
-            counts.append(len(got))
-        n, k = np.array(counts, np.int64), self.known
-        self._room("pool", self.used + len(ids))[self.used : self.used + len(ids)] = ids
-        self._room("starts", k + len(n))[k : k + len(n)] = self.used + np.cumsum(n) - n
-        self._room("counts", k + len(n))[k : k + len(n)] = n
-        self.used += len(ids)
-        self.known += len(n)
-
-    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(the store's place of every piece, number of pieces of every text)."""
-        if self.known > self.most:
-            self.clear()
+    def _values(self, piece: bytes) -> tuple[list[int], int]:
+        """(what is kept of a piece, its number of tokens)."""
+        ids = self.library.ids(piece)
+        return ids, len(ids)
+
+    def _add(self, cp: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Tokenizes pieces and returns their places."""
+        ends = np.cumsum(n)
+        inside = np.arange(int(ends[-1])) + np.repeat(starts - (ends - n), n)
+        signs = cp[inside]
+        text = signs.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        found, sizes, totals = [], [], []
+        for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+            got, total = self._values(text[a:b].encode("utf-8", "replace"))
+            found += got
+            sizes.append(len(got))
+            totals.append(total)
+        k, m, u, v = self.known, len(n), self.used, self.signs_used
+        self._room("pool", u + len(found))[u : u + len(found)] = found
+        self._room("signs", v + len(signs))[v : v + len(signs)] = signs
+        for name, x in (("starts", u + np.cumsum(sizes) - sizes), ("counts", totals), ("sign_at", v + ends - n), ("sign_n", n)):
+            self._room(name, k + m)[k : k + m] = x
+        self.used, self.known, self.signs_used = u + len(found), k + m, v + len(signs)
+        return np.arange(k, k + m)
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, places of the texts, starts of the pieces)."""
         cp, at = codes(texts)
         starts = split(cp, at)
-        per = np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
-        ends = np.append(starts[1:], len(cp)) if len(starts) else starts
-        h = span_hashes(cp, starts, ends)
-        unique, where, back = np.unique(h, return_index=True, return_inverse=True)
+        odd = doubtful(texts)
+        if odd:
+            keep = np.ones(len(starts), bool)
+            for i in odd:
+                keep[np.searchsorted(starts, at[i]) : np.searchsorted(starts, at[i + 1])] = False
+            own = [at[i] + np.array(self.library.cuts(texts[i]), np.int64) for i in odd]
+            starts = np.sort(np.concatenate([starts[keep], *own]))
+        return cp, at, starts
+
+    def places(self, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The store's place of every piece."""
+        if self.known > self.most:
+            self.clear()
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        n = np.diff(np.append(starts, len(cp)))
+        unique, where, back = np.unique(span_hashes(cp, starts, starts + n), return_index=True, return_inverse=True)
+        first, size = starts[where], n[where]
         place = self._places(unique)
+        hit = np.flatnonzero(place >= 0)
+        if len(hit):
+            p = place[hit]
+            same = self.sign_n[p] == size[hit]
+            same[same] = ~differing(cp, first[hit][same], size[hit][same], self.signs, self.sign_at[p][same])
+            place[hit[~same]] = -2  # another piece has this hash: it is tokenized anew each time
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
-            joined = "".join(texts)
-            a, b = starts[where[fresh]].tolist(), ends[where[fresh]].tolist()
-            place[fresh] = np.arange(self.known, self.known + len(fresh))
-            self._add([joined[x:y] for x, y in zip(a, b, strict=True)])
-            self._remember(unique[fresh], place[fresh])
-        return place[back], per
+            new = place[fresh] == -1
+            place[fresh] = self._add(cp, first[fresh], size[fresh])
+            self._remember(unique[fresh[new]], place[fresh[new]])
+        out = place[back]
+        # pieces of one hash within the batch
+        odd = n != size[back]
+        like = np.where(odd, starts, first[back])  # of another length: odd in any case
+        wrong = cp != cp[np.arange(len(cp)) + np.repeat(like - starts, n)]
+        if wrong.any() or odd.any():
+            odd[np.searchsorted(starts, np.flatnonzero(wrong), side="right") - 1] = True
+            i = np.flatnonzero(odd)
+            out[i] = self._add(cp, starts[i], n[i])
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after another, number of ids of every text)."""
-        place, per = self.look_up(texts)
+    def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the store's place of every piece, number of pieces of every text)."""
+        cp, at, starts = self.cut(texts)
+        per = np.searchsorted(starts, at[1:]) - np.searchsorted(starts, at[:-1])
+        return self.places(cp, starts), per
+
+    def ids(self, place: np.ndarray) -> np.ndarray:
+        """All ids of the pieces one after another."""
         counts = self.counts[place]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.starts[place] - (ends - counts), counts) + np.arange(total)
-        sums = np.append(0, ends)
-        border = np.append(0, np.cumsum(per))
-        return self.pool[source], sums[border[1:]] - sums[border[:-1]]
+        return self.pool[np.repeat(self.starts[place] - (ends - counts), counts) + np.arange(total)]
 
-    def count(self, texts: list[str]) -> np.ndarray:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, number of ids of every text)."""
         place, per = self.look_up(texts)
+        return self.ids(place), self._summed(place, per)
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        return self._summed(*self.look_up(texts))
+
+    def _summed(self, place: np.ndarray, per: np.ndarray) -> np.ndarray:
         sums = np.append(0, np.cumsum(self.counts[place]))
         border = np.append(0, np.cumsum(per))
         return sums[border[1:]] - sums[border[:-1]]
 
 
-def encoding(ranks_path: str | None = None):
-    import public_tokenizers as public
-    import tiktoken
-
-    with open(ranks_path or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("pieces", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={END_TEXT: END_ID})
-
-
 @lru_cache(maxsize=2)
-def shared(ranks_path: str | None = None) -> Pieces:
+def shared(path: str | None = None) -> Pieces:
     """The worker's store; it outlives tasks where workers are reused."""
-    return Pieces(ranks_path)
+    return Pieces(path)
 
 
 def release() -> None:
@@ -268,13 +375,13 @@ def release() -> None:
     shared.cache_clear()
 
 
-def encode_texts(texts: list[str | None], ranks_path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str | None], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their numbers per text (null: none), special strings as the library takes them by default."""
     texts = [t or "" for t in texts]
     if not any(END_TEXT in t for t in texts):
-        return shared(ranks_path).encode(texts)
+        return shared(path).encode(texts)
     parts = [t.split(END_TEXT) for t in texts]
-    ids, per = shared(ranks_path).encode([x for p in parts for x in p])
+    ids, per = shared(path).encode([x for p in parts for x in p])
     out, n, i, a = [], [], 0, 0
     for p in parts:
         size = 0

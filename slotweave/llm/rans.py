@@ -172,14 +172,14 @@ def decode_shard(data: bytes, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndar
     return doc_ids, nulls, lengths, ids, first
 
 
-def tokenize(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids: little-endian 16-bit ids of the whole text and the end id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, out = b["text"].tolist(), []
             for i, j in chunks(texts):
-                ids, n = encode_texts(texts[i:j], ranks_path)
+                ids, n = encode_texts(texts[i:j], vocabulary)
                 ends = np.cumsum(n)
                 whole = np.insert(ids, ends, END).astype("<u2")
                 ends += np.arange(1, len(ends) + 1)
@@ -212,9 +212,9 @@ def frequency_table(tokens: DataFrame) -> Table:
     return Table.of_counts(counts)
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None) -> tuple[DataFrame, bytes]:
+def encode(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, bytes]:
     """(shards, packed table). Shards: part, seq, docs, n_ids, payload; in order of (part, seq)."""
-    tokens = stored(tokenize(docs, ranks_path), "tokens")
+    tokens = stored(tokenize(docs, vocabulary), "tokens")
     packed = frequency_table(tokens).pack()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

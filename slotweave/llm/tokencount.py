@@ -8,8 +8,8 @@ two tokens may stand side by side is the library's own answer for the two togeth
 remembered per pair. The table answers counts, truncation to a budget and budget
 checks for every prefix without encoding again, in time linear in the piece.
 
-Distinct pieces of a batch are looked up by hash (see ``pieces``), so the programme runs
-once for each piece that a worker meets.
+Distinct pieces of a batch are looked up in the worker's store (see ``pieces``: a hit is
+compared sign by sign), so the programme runs once for each piece that a worker meets.
 
 Edge cases: null text counts as empty (0 tokens, 0 bytes); texts are taken whole, however
 long; special strings in a text are one token, as the library's default has it; repeated
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, mapped, table
-from .pieces import END_TEXT, Pieces, codes, split
+from .pieces import END_TEXT, SPACE, Pieces, classes
 
 LIMIT = 1024
 
@@ -36,18 +36,22 @@ class PrefixTable(Pieces):
     #: The programme is slow for a new piece, so more are kept: some 60 bytes each.
     most = 3_000_000
 
-    def __init__(self, ranks_path: str | None = None):
-        super().__init__(ranks_path)
-        self.rank = {self.enc.decode_single_token_bytes(i): i for i in range(self.enc.n_vocab - 1)}
+    def __init__(self, path: str | None = None):
+        super().__init__(path)
+        self.rank = self.library.id_of
         self.longest = max(map(len, self.rank))
         self.beside: dict[tuple[bytes, bytes], bool] = {}
 
+    def clear(self) -> None:
+        super().clear()
+        self.pool = self.pool.astype(np.uint32)
+
     def _fits(self, a: bytes, b: bytes) -> bool:
         known = self.beside.get((a, b))
         if known is None:
             if len(self.beside) > 1_000_000:
                 self.beside.clear()
-            known = self.beside[a, b] = self.core.encode_single_piece(a + b) == [self.rank[a], self.rank[b]]
+            known = self.beside[a, b] = self.library.ids(a + b) == [self.rank[a], self.rank[b]]
         return known
 
     def prefix_counts(self, piece: bytes) -> list[int]:
@@ -58,26 +62,15 @@ class PrefixTable(Pieces):
                 token = piece[end - size : end]
                 if token in rank:
                     before = last[end - size]
-                    if self._fits(before, token) if before else size == 1 or self.core.encode_single_piece(token) == [rank[token]]:
+                    if self._fits(before, token) if before else size == 1 or self.library.ids(token) == [rank[token]]:
                         counts.append(counts[end - size] + 1)
                         last.append(token)
                         break
         return counts[1:]
 
-    def _add(self, pieces: list[str]) -> None:
-        found, sizes, totals = [], [], []
-        for piece in pieces:
-            got = self.prefix_counts(piece.encode("utf-8", "replace"))
-            found += got
-            sizes.append(len(got))
-            totals.append(got[-1])
-        n, k = np.array(sizes, np.int64), self.known
-        self.pool = self.pool.astype(np.uint32, copy=False)
-        self._room("pool", self.used + len(found))[self.used : self.used + len(found)] = found
-        self._room("starts", k + len(n))[k : k + len(n)] = self.used + np.cumsum(n) - n
-        self._room("counts", k + len(n))[k : k + len(n)] = totals
-        self.used += len(found)
-        self.known += len(n)
+    def _values(self, piece: bytes) -> tuple[list[int], int]:
+        counts = self.prefix_counts(piece)
+        return counts, counts[-1]
 
     def of_text(self, text: str) -> np.ndarray:
         """Exact token count of text[:0], text[:1], ..., text[:len(text)] (by code points)."""
@@ -95,9 +88,9 @@ class PrefixTable(Pieces):
 
     def _plain(self, text: str) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int64)
-        place, _ = self.look_up([text])
-        cp, at = codes([text])
-        starts = split(cp, at)
+        cp, _, starts = self.cut([text])
+        place = self.places(cp, starts)
+        space = (classes()[cp] == SPACE).tolist()
         total, run = 0, 0
         for k, (s, p) in enumerate(zip(starts.tolist(), place.tolist(), strict=True)):
             end = int(starts[k + 1]) if k + 1 < len(starts) else len(text)
@@ -105,18 +98,16 @@ class PrefixTable(Pieces):
             table = self.pool[self.starts[p] :]
             bytes_ = np.cumsum([len(c.encode("utf-8", "replace")) for c in piece])
             out[s + 1 : end + 1] = total + table[bytes_ - 1]
-            if s and piece[0].isspace() and text[s - 1].isspace():
+            if s and space[s] and space[s - 1]:
                 # a prefix that ends in white space takes the whole run as one piece
                 whole = self.prefix_counts(text[run : s + 1].encode("utf-8", "replace"))[-1]
                 out[s + 1] = out[run] + whole
-                if len(piece) > 1 and piece.isspace():
-                    raise AssertionError("a run's last sign stands alone")
-            elif piece[0].isspace():
+            elif space[s]:
                 run = s
             if len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
                 out[s + 2] = total + 2  # cut in two, it is no contraction: an apostrophe and a letter
             total += int(self.counts[p])
-            out[end] = total if end == len(text) or not (text[end - 1].isspace() and piece[0].isspace()) else out[end]
+            out[end] = total if end == len(text) or not (space[end - 1] and space[s]) else out[end]
         return out
 
     def truncate(self, text: str, budget: int) -> str:
@@ -125,26 +116,26 @@ class PrefixTable(Pieces):
 
 
 @lru_cache(maxsize=2)
-def prefix_table(ranks_path: str | None = None) -> PrefixTable:
-    return PrefixTable(ranks_path)
+def prefix_table(path: str | None = None) -> PrefixTable:
+    return PrefixTable(path)
 
 
-def count_texts(texts: list[str | None], ranks_path: str | None = None) -> np.ndarray:
+def count_texts(texts: list[str | None], path: str | None = None) -> np.ndarray:
     """Token count per text, from the prefix tables' last entries."""
     parts = [(t or "").split(END_TEXT) for t in texts]
     per = np.array([len(p) for p in parts], np.int64)
-    got = prefix_table(ranks_path).count([x for p in parts for x in p])
+    got = prefix_table(path).count([x for p in parts for x in p])
     sums = np.append(0, np.cumsum(got))
     ends = np.cumsum(per)
     return sums[ends] - sums[ends - per] + per - 1
 
 
-def count(docs: DataFrame, limit: int = LIMIT, ranks_path: str | None = None) -> DataFrame:
+def count(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document."""
 
     def run(texts):
         texts = texts.to_pylist()
-        n = [count_texts(texts[i:j], ranks_path) for i, j in chunks(texts)]
+        n = [count_texts(texts[i:j], path) for i, j in chunks(texts)]
         return (np.concatenate(n) if n else np.zeros(0, np.int64),)
 
     t = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

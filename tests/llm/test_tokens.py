@@ -34,6 +34,42 @@ def test_ids_are_the_librarys(library):
         assert ids[e - k : e].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def thue_morse(n):
+    """Two words that every sum of powers modulo 2**64 takes for equal."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_thue_morse_words_are_told_apart(library):
+    for n in (1024, 4096):
+        texts = list(thue_morse(n))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, per = pieces.encode_texts(texts)
+        assert ids.tolist() == [*want[0], *want[1]] and per.tolist() == list(map(len, want))
+        assert tokencount.count_texts(texts).tolist() == list(map(len, want))
+
+
+def test_results_do_not_rest_on_the_hash(library, monkeypatch):
+    """With three hash values for all pieces, within a batch and in the store, ids and counts stay right."""
+    monkeypatch.setattr(pieces, "span_hashes", lambda v, s, e: ((e - s) % 3).astype(np.uint64))
+    texts = samples()[:300]
+    for store in (pieces.Pieces(), tokencount.PrefixTable()):
+        for part in (texts[:200], texts[100:]):
+            part = [t.replace("<|endoftext|>", "") for t in part]
+            assert store.count(part).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in part]
+
+
+def test_signs_of_newer_unicode(library):
+    texts = [f"a{chr(c)}b 1{chr(c)} {chr(c)}{chr(c)}" for c in (0x558, 0x88F, 0xC5C, 0x2EBF0, 0x10D40, 0x1C89, 0x1E900, 0x31350, 0x10FFFF, 0x180E, 0x85)]
+    ids, _ = pieces.encode_texts(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    for t in texts:
+        want = [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert tokencount.prefix_table().of_text(t).tolist() == want, repr(t)
+
+
 def test_counts_are_the_librarys(library):
     texts = samples()
     assert tokencount.count_texts([*texts, None]).tolist() == [*(len(library.encode(t, add_special_tokens=False).ids) for t in texts), 0]
