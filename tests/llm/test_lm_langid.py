@@ -17,14 +17,16 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 def test_normal_form():
     texts = ["A b\n C", "", "  ", "É É x", "a b", "tab\tx"]
-    out, h, n = lm.normal(texts)
+    out, h, n, at = lm.normal(texts)
+    whole = "".join(out)
+    assert [whole[a:].split(" ")[0] for a in at[:2]] == ["a", "b"]
     assert out == [" ".join(WORD.findall(t.translate(LOW))) for t in texts]
     assert n.tolist() == [len(WORD.findall(t)) for t in texts] and len(h) == n.sum()
 
 
 def test_squeezed():
-    x = np.array([0, 1, 255, 256, 70_000, 2**24 - 1])
-    assert lm.expanded(lm.squeezed(x, 3), 3).tolist() == x.tolist() and lm.expanded(lm.squeezed(x[:0], 3), 3).tolist() == []
+    x = np.array([0, 1, 255, 256, 70_000, 2**24 + 5, 2**31 - 1])  # more than 16.7 million distinct words, too
+    assert lm.expanded(lm.squeezed(x, 4), 4).tolist() == x.tolist() and lm.expanded(lm.squeezed(x[:0], 4), 4).tolist() == []
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +76,29 @@ def test_masked_windows_score_each_token_once(model):
     assert abs(a.score(x[: cut - 1], y[: cut - 1], np.array([cut - 1]))[0] - a.score(x2[: cut - 1], z[: cut - 1], np.array([cut - 1]))[0]) < 1e-4
 
 
+def test_gradients_are_finite_differences(monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    monkeypatch.setattr(lm, "KEPT_IDS", 32)
+    monkeypatch.setattr(lm, "IN_CLASS", 8)
+    rng = np.random.default_rng(5)
+    x, y, m = lm.inputs_and_targets(rng.integers(0, 31, 70), np.array([50, 0, 20]), 31)
+    a = lm.Attention(rng.integers(0, 9, (32, 32)), 31)
+    a.p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in a.p.items()}
+    a.oc, a.ot, a.causal = (t.astype(np.float64) for t in (a.oc, a.ot, a.causal))
+    rows, first = lm.windows(m)
+    loss = lambda: a._gradients(x, y, rows, first, m)[0] / len(x)
+    g = a._gradients(x, y, rows, first, m)[2]
+    for name, v in a.p.items():
+        for i in rng.integers(0, v.size, 6):
+            old = v.flat[i]
+            v.flat[i] = old + 1e-5
+            up = loss()
+            v.flat[i] = old - 1e-5
+            down = loss()
+            v.flat[i] = old
+            assert abs((up - down) / 2e-5 - g[name].flat[i]) < 1e-4 * max(1, abs(g[name].flat[i])), name
+
+
 def test_training_lowers_the_loss():
     pattern = np.tile(np.arange(50), 60)
     ids = np.where(np.arange(3000) % 2, pattern, np.roll(pattern, 2))  # more than pairs tell
@@ -83,6 +108,60 @@ def test_training_lowers_the_loss():
     assert losses[-1] < 0.6 * losses[0]
 
 
+def cut(words):
+    """Segments of a text's words, by the same rule in plain Python."""
+    out, now = [], []
+    for w, h in words:
+        now.append(w)
+        if h % lm.SEGMENT == 0 or len(now) == lm.MAX_SEGMENT:
+            out.append(tuple(now))
+            now = []
+    if now or not out:
+        out.append(tuple(now))
+    return out
+
+
+def test_segments_end_where_the_words_say():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 900, n))) for n in (400, 0, 1, 700, 5)] + ["same " * 300]
+    texts.append("new start " + texts[0])
+    out, h, n, _ = lm.normal(texts)
+    per, first, size = lm.segments(h, n)
+    want = [cut(zip(t.split(" "), x.tolist(), strict=True)) if t else [()] for t, x in zip(out, np.split(h, np.cumsum(n)[:-1]), strict=True)]
+    assert per.tolist() == list(map(len, want)) and size.tolist() == [len(s) for w in want for s in w]
+    before, both = lm.segment_keys(h, per, first, size)
+    ends = np.cumsum(per)
+    shared = set(both[: ends[0]]) & set(both[ends[-2] :])
+    assert len(shared) >= per[0] - 2 and (both % 2 == 1).all() and (h % 2 == 0).all()
+
+
+def test_scores_remember_other_documents(corpus_rows, corpus):
+    """The score from its parts, by dictionaries: no text is evidence for itself."""
+    got = {r.doc_id: r for r in lm.score(corpus).collect()}
+    texts = [lm.normal([r[1]]) for r in corpus_rows]
+    pieces = [[*cut(zip(t[0][0].split(" "), t[1].tolist(), strict=True))] for t in texts]
+    pieces = [[("<s>",), *p[:-1], (*p[-1], "</s>")] for p in pieces]
+    held = [got[i].held_out for i in range(len(pieces))]
+    pairs, contexts = Counter(), Counter()
+    for p, h in zip(pieces, held, strict=True):
+        if not h:
+            pairs.update(zip(p, p[1:], strict=False))
+            contexts.update(p[:-1])
+    twins = Counter(r[1] for r in corpus_rows)
+    for i, p in enumerate(pieces):
+        own, mine = Counter(zip(p, p[1:], strict=False)), Counter(p[:-1])
+        seen = [pairs[x] - (0 if held[i] else own[x]) for x in zip(p, p[1:], strict=False)]
+        context = [contexts[x] - (0 if held[i] else mine[x]) for x in p[:-1]]
+        if not any(seen):  # attention alone, less what the contexts take
+            want = got[i].attention_score - sum(math.log10(c + lm.NEW) for c in context)
+            assert abs(got[i].score - want) < 1e-6 * abs(want)
+        else:
+            assert got[i].score > got[i].attention_score - sum(math.log10(c + lm.NEW) for c in context)
+        if twins[corpus_rows[i][1]] > 1 and sum(not held[j] for j, r in enumerate(corpus_rows) if r[1] == corpus_rows[i][1] and j != i):
+            assert all(seen) and got[i].score > 0.5 * got[i].attention_score
+    assert any(sum(pairs.values()) and s > 1 for s in twins.values())
+
+
 def base_scores(rows):
     docs = [([w for w in WORD.findall((r[1] or "").translate(LOW))], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0) for r in rows]
     c = Counter(w for words, held in docs if not held for w in (*words, "\n"))
@@ -102,25 +181,28 @@ def test_score_operator(corpus, corpus_rows, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # syllables beat words on unseen texts
     by_text = {}
     for r in got:
-        by_text.setdefault(corpus_rows[r.doc_id][1], []).append(r.score)
+        by_text.setdefault(corpus_rows[r.doc_id][1], []).append(r.attention_score)
     assert all(max(s) - min(s) < 1e-2 for s in by_text.values())
 
 
 def test_fit_learns_from_all_training_documents(corpus, monkeypatch):
-    """Without a sample to start from, the model still learns, from every token once."""
+    """Without a sample to start from, the model still learns, from its share of every document's windows."""
     monkeypatch.setattr(lm, "training_sample", lambda *a: (np.zeros(0, np.int16), np.zeros(0, np.int64)))
     chunks_ = lm.prepared(corpus)
     start = lm.Attention(lm.bigram_counts(chunks_, lm.Spelling(lm.id_counts(chunks_))), 0)
     got, spelling = lm.fit(chunks_)
-    want, loss = 0, [0.0, 0.0]
+    seen, loss = 0, [0.0, 0.0]
     for b in chunks_.toArrow().to_batches():
         for _, held, ids, n in lm._documents(b):
             x, y, m = lm.inputs_and_targets(*spelling(ids[np.repeat(~held, n)], n[~held]), spelling.end)
-            want += len(x)
+            seen += len(lm.windows(m)[0])
             for i, a in enumerate((start, got)):
                 loss[i] -= a.score(x, y, m).sum()
     assert loss[1] < loss[0]
-    assert lm.whole_pass(chunks_, got, spelling)[1] == want
+    monkeypatch.setattr(lm, "EVERY", 1)
+    every = lm.Attention(np.zeros((lm.KEPT_IDS,) * 2), 0)
+    x, y, m = lm.inputs_and_targets(*spelling(np.arange(1000), np.array([900, 100])), spelling.end)
+    assert every.learn(x, y, m, lm.Adam(every.p), np.random.default_rng(0)) == len(x)
 
 
 def test_score_edges(edge, nothing):
