@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -142,6 +143,70 @@ def test_smoothing():
     assert np.allclose(extract.smoothed(np.full(3, 5.0)), 5)
 
 
+def wide(n, word="word"):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # wrappers whose names say boilerplate, and forms around the page
+        (f"<div class='layout with-sidebar'><nav><a>Home</a></nav><article><h1>T</h1><p>{LONG}</p><p>tiny</p></article><div class=sidebar>About us here</div></div>", f"T {LONG} tiny"),
+        (f"<body><form><nav><a>Home</a></nav><h1>Title</h1><p>{LONG}</p><p>tiny</p><button>Go</button></form></body>", f"Title {LONG} tiny"),
+        (f"<div class='search-results'><h2>Found</h2><p>{LONG}</p></div>", f"Found {LONG}"),
+        (f"<div id=header-less><div class=comments><p>{LONG}</p></div></div>", LONG),
+        # no article: what the ratios tell apart
+        (f"<ul><li><a>One</a><li><a>Two</a></ul><h1>Title</h1><p>{LONG}</p><p>tiny</p><p>{LONG}</p><ul><li><a>Back</a><li><a>Top of page</a></ul>", f"Title {LONG} tiny {LONG}"),
+        (f"<div><p>{LONG}</p></div><ul><li><a>Next page</a><li><a>Home page</a></ul><div><p>{LONG}</p><p>end</p></div>", f"{LONG} {LONG} end"),
+        # comments that outweigh a short article, and articles that share a page
+        (f"<article><h1>T</h1><p>{wide(40)}</p></article><div class=comments>{''.join(f'<div class=comment><b>me</b><p>{wide(30, w)}</p></div>' for w in ('aa', 'bb', 'cc'))}</div>", f"T {wide(40)}"),
+        (f"<nav><a>x</a></nav><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p><p>c</p></article><footer>f</footer>", f"A {LONG} B {LONG} c"),
+    ],
+)
+def test_regions_come_from_content(html, want):
+    assert extract.extract_text(html) == want
+
+
+def test_results_come_through_the_ratios(monkeypatch):
+    """With all lines, random ones or the same ratios dealt to other lines for content, other text comes out."""
+    rng, real = random.Random(8), extract.content_lines
+    menu = "<nav><ul>" + "".join(f"<li><a>{w}</a></li>" for w in "abcdef") + "</ul></nav><div class=ad>Buy this now or later</div>"
+    made = [f"<body>{menu}<article><h1>T</h1>{''.join(f'<p>{prose(rng, rng.randrange(5, 80))}</p>' for _ in range(5))}</article><footer>Some rights are reserved</footer></body>" for _ in range(40)]
+    texts = [extract.extract_text(x) for x in made]
+    import re
+
+    assert texts == [" ".join(" ".join(re.sub("<.*?>", " ", x.split("<article>")[1].split("</article>")[0]).split()).split()) for x in made]
+    for other in (lambda t, g, w=None: np.ones(len(t), bool), lambda t, g, w=None: np.array([rng.random() < 0.5 for _ in t]), lambda t, g, w=None: np.array(rng.sample(real(t, g, w).tolist(), len(t)))):
+        monkeypatch.setattr(extract, "content_lines", other)
+        assert sum(extract.extract_text(x) != t for x, t in zip(made, texts, strict=True)) > 15
+    monkeypatch.setattr(extract, "content_lines", real)
+
+
+def test_lines_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randrange(1, 30)
+        texts, tags, weights = ["x" * rng.randrange(1, 300) for _ in range(n)], [rng.randrange(0, 6) for _ in range(n)], [rng.choice([1, 1 / 4, 1 / 16]) for _ in range(n)]
+        ratio = [len(t) / max(1, g) for t, g in zip(texts, tags, strict=True)]
+        s = []
+        for i in range(n):
+            near = [(2.718281828459045 ** (-0.5 * ((i - j) / extract.SIGMA) ** 2), ratio[j]) for j in range(n) if abs(i - j) <= extract.RADIUS]
+            s.append(weights[i] * sum(w * r for w, r in near) / sum(w for w, _ in near))
+        mean = sum(s) / n
+        limit = min((sum((x - mean) ** 2 for x in s) / n) ** 0.5, max(s))
+        got = extract.content_lines(texts, tags, np.array(weights))
+        assert [bool(x) for x in got] == [x >= limit for x in s] or any(abs(x - limit) < 1e-9 * limit for x in s)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for tail in ("", "</section></form>"):
+        start = time.time()
+        text = extract.extract_text("<article>" + f"<div><p>some text here to read{tail}" * 20_000)
+        assert len(text) == 20_000 * len("some text here to read ") - 1 and time.time() - start < 2
+
+
 def test_extract_operator(spark):
     rows = [(1, "u", f"<article>{LONG}</article>"), (None, None, None), (2**60 + 1, "v", ""), (1, "u", f"<article>{LONG}</article>")]
     got = extract.extract(pages(spark, rows)).collect()
