@@ -257,23 +257,26 @@ class TransactionPart:
         )
 
     def keys(self) -> Column:
-        """A transaction's keys, with token-balance owners as the mode has it."""
-        keys = F.col("account_keys")
+        """A transaction's keys, with token-balance owners as the mode has it. Null keys and owners are none."""
+        none = F.filter("account_keys", lambda _: F.lit(False))
+        known = lambda c: F.array_compact(F.coalesce(c, none))
+        keys = known(F.col("account_keys"))
         if self.token_accounts == ALL_OWNERS:
-            return F.array_union(keys, F.transform("token_balances", lambda b: b["owner"]))
+            return F.array_union(keys, known(F.transform("token_balances", lambda b: b["owner"])))
         if self.token_accounts == BALANCE_CHANGED:
             changed = F.filter("token_balances", lambda b: ~b["pre"].eqNullSafe(b["post"]))
-            return F.array_union(keys, F.transform(changed, lambda b: b["owner"]))
+            return F.array_union(keys, known(F.transform(changed, lambda b: b["owner"])))
         return keys
 
     def column(self) -> Column:
         keys, out = self.keys(), []
+        has = lambda wanted: F.coalesce(F.arrays_overlap(keys, _list(wanted)), F.lit(False))  # noqa: E731  (no keys at all: null)
         if self.include or self.members:
-            out.append(F.arrays_overlap(keys, _list(self.include | self.members)))
+            out.append(has(self.include | self.members))
         if self.required:
-            out.append(F.size(F.array_except(_list(self.required), keys)) == 0)
+            out.append(F.coalesce(F.size(F.array_except(_list(self.required), keys)) == 0, F.lit(False)))
         if self.exclude:
-            out.append(~F.arrays_overlap(keys, _list(self.exclude)))
+            out.append(~has(self.exclude))
         for name, want in (("is_vote", self.vote), ("signature", self.signature), ("failed", self.failed)):
             if want is not None:
                 out.append(F.col(name) == F.lit(want))

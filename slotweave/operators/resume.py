@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.operators.ordered import with_running_max
+from slotweave.operators.ordered import BUCKET, with_running_max
 
 REWIND, FLOOR = 4, 32
 #: Statuses that are never dropped as repeats.
@@ -64,10 +64,18 @@ def last_committed(markers: DataFrame) -> DataFrame:
     return per.select(F.when(F.col("slot").isNull() & (F.col("_n") > 0), bad.cast("bigint")).otherwise(F.col("slot")).alias("slot")).agg(F.max("slot").alias("slot"))
 
 
-def frame_index(frames: DataFrame, order: str = "ingest", cap: int = 256) -> DataFrame:
-    """Frames with ``frame``: their running index per slot, which restarts don't reset; none beyond the cap."""
-    n = F.row_number().over(Window.partitionBy("slot").orderBy(order)) - 1
-    return frames.withColumn("frame", n).where(F.col("frame") < cap)
+def frame_index(frames: DataFrame, order: str = "ingest") -> DataFrame:
+    """Transactions with ``frame``: their running index in their slot, which restarts don't reset.
+
+    A stream remembers a bounded number of *slots* (``streaming.feeds``); no transaction of
+    a slot is ever left out. Slots of many rows are numbered by ranges of the order key, so
+    none is one task.
+    """
+    b = frames.withColumn("_b", F.floor(F.col(order) / BUCKET).cast("bigint"))
+    before = Window.partitionBy("slot").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy("slot", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    n = F.row_number().over(Window.partitionBy("slot", "_b").orderBy(order)) - 1
+    return b.withColumn("_l", n).join(ends, ["slot", "_b"]).withColumn("frame", F.col("_l") + F.col("_n")).drop("_b", "_l", "_n")
 
 
 def restarts(marks: DataFrame, order: str = "ingest") -> DataFrame:

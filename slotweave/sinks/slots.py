@@ -28,19 +28,19 @@ class SlotSink:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: records first, then the markers that make them count."""
         records = batch.where("kind = 'record'")
-        markers = batch.where("kind = 'commit'").select("slot", "bank", "counts")
+        markers = batch.where("kind = 'commit'").select("chain", "slot", "bank", "counts")
         records.write.mode("overwrite").parquet(f"{self.path}/records/batch={batch_id}")
         markers.write.mode("overwrite").parquet(f"{self.path}/markers/batch={batch_id}")
 
     def committed(self, spark: SparkSession) -> DataFrame:
-        """Records of slots that have their marker, so never half a slot."""
+        """Records of slots that have their marker, so never half a slot. Chains have slots of their own."""
         r = spark.read.parquet(f"{self.path}/records")
-        return r.join(spark.read.parquet(f"{self.path}/markers").select("slot", "bank"), ["slot", "bank"], "left_semi")
+        return r.join(spark.read.parquet(f"{self.path}/markers").select("chain", "slot", "bank"), ["chain", "slot", "bank"], "left_semi")
 
-    def last_slot(self, spark: SparkSession) -> int | None:
-        """Where to go on after a restart."""
-        m = spark.read.parquet(f"{self.path}/markers").select(F.col("batch").alias("partition"), F.to_json(F.struct("slot")).alias("value"))
-        return resume.last_committed(m).first()["slot"]
+    def last_slot(self, spark: SparkSession, chain: str) -> int | None:
+        """Where to go on with a chain after a restart."""
+        m = spark.read.parquet(f"{self.path}/markers").where(F.col("chain") == chain)
+        return resume.last_committed(m.select(F.col("batch").alias("partition"), F.to_json(F.struct("slot")).alias("value"))).first()["slot"]
 
 
 def republished(decoded: DataFrame, programs: list[str]) -> DataFrame:

@@ -21,20 +21,33 @@ def _none(x):
     return None if x is None or pd.isna(x) else x
 
 
+class SlotOrderError(RuntimeError):
+    """Order can't be kept any more: two confirmed banks, contradicting metadata, too many pending banks, ..."""
+
+
 class SlotProcessor(StatefulProcessor):
-    """Applies a chain's events in ingest order. The state is the machine's, as JSON."""
+    """Applies a chain's events in ingest order. The state is the machine's, as JSON.
+
+    A fatal error fails the query: a stream that went on would drop all that follows. The
+    batch is not committed, so a restart meets the same events again.
+    """
+
+    def __init__(self, **options):
+        self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", "json string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        machine = SlotMachine(json.loads(self.state.get()[0]) if self.state.exists() else None)
+        machine = SlotMachine(json.loads(self.state.get()[0]) if self.state.exists() else None, **self.options)
         events = pd.concat(list(rows)).sort_values("ingest", kind="stable")
         out = []
         for r in events.itertuples(index=False):
             number = lambda x: None if _none(x) is None else int(x)
             e = Event(r.kind, int(r.slot), number(r.bank), number(r.parent), number(r.expected), _none(r.key), _none(r.payload), _none(r.decoded) is not False, number(r.entries), number(r.executed))
             out += [(key[0], o.kind, o.slot, o.bank, o.key, o.payload, json.dumps(o.counts) if o.counts else None) for o in machine.apply(e)]
+            if machine.failed:
+                raise SlotOrderError(f"chain {key[0]}: {machine.failed}")
         self.state.update((json.dumps(machine.state()),))
         frame = pd.DataFrame(out, columns=["chain", "kind", "slot", "bank", "key", "payload", "counts"])
         yield frame.astype({"slot": "Int64", "bank": "Int64"})
@@ -43,13 +56,15 @@ class SlotProcessor(StatefulProcessor):
         pass
 
 
-def commits(events: DataFrame) -> DataFrame:
-    """Records and commit markers in slot order, and late, dropped and error rows, of a stream of EVENTS.
+def commits(events: DataFrame, **options) -> DataFrame:
+    """Records and commit markers in slot order, and late and dropped rows, of a stream of EVENTS.
+
+    ``options``: the machine's (whole_start, accounts, unique_banks).
 
     The order is global per chain, so a chain is one state and one task; decode before,
     where the work is. Needs the RocksDB state store (``configure``).
     """
-    return events.groupBy("chain").transformWithStateInPandas(SlotProcessor(), OUTPUT, outputMode="Append", timeMode="None")
+    return events.groupBy("chain").transformWithStateInPandas(SlotProcessor(**options), OUTPUT, outputMode="Append", timeMode="None")
 
 
 def configure(spark) -> None:

@@ -176,3 +176,16 @@ def test_slices(spark):
     d = spark.createDataFrame([(b"0123456789",)], "data binary")
     assert bytes(d.select(DataSlice.column([DataSlice(1, 2), DataSlice(8, 9)])).first()[0]) == b"1289"
     assert d.select(F.lit(1)).count() == 1
+
+
+def test_null_keys_and_owners(spark):
+    """A null owner or key hides nothing: the transaction is judged by its other keys."""
+    kind = "signature int, account_keys array<string>, token_balances array<struct<owner:string,pre:bigint,post:bigint>>, failed boolean, is_vote boolean"
+    rows = [(1, ["a"], [(None, 1, 2)], False, False), (2, ["a", None], [("x", 1, 2)], False, False), (3, ["a"], None, False, False), (4, None, None, False, False), (5, ["b"], [], False, False)]
+    df = spark.createDataFrame(rows, kind)
+    got = lambda **k: sorted(r.signature for r in df.where(TransactionPart(**k).column()).collect())
+    for mode in (None, "all", "balance_changed"):
+        assert got(exclude=frozenset({"b"}), token_accounts=mode) == [1, 2, 3, 4]
+        assert got(include=frozenset({"a"}), token_accounts=mode) == [1, 2, 3]
+        assert got(required=frozenset({"a"}), token_accounts=mode) == [1, 2, 3]
+    assert got(exclude=frozenset({"x"}), token_accounts="all") == [1, 3, 4, 5]
