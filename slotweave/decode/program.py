@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotweave.decode import columns
 from slotweave.decode.ir import DecodeError, Node, Struct
-from slotweave.functions.encoding import window
+from slotweave.functions.encoding import b58decode, window
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ class Kind:
 EVENT_TAG = bytes.fromhex("e445a52e51cb9a1d")
 
 
-@dataclass
+@dataclass(eq=False)
 class Program:
     name: str
     address: str
@@ -127,18 +128,28 @@ class Program:
             return "error", k.name, None, str(e)
 
     def _accounts(self, k: Kind, keys: list[str]) -> tuple[dict, str | None]:
+        """Accounts by name, and what lies beyond them; an optional one that is the program itself was left out.
+
+        Accounts with a fixed address may be missing at the end, and are filled in then. Not
+        if the list looks as if another was left out: an optional one before them is missing,
+        one that is there has another address, or a missing one's address stands elsewhere.
+        """
+        n = len(keys)
+        fixed = {i: a.address for i, a in enumerate(k.accounts) if a.address and not a.optional}
+        if fixed and n <= max(fixed):
+            skipped = any(a.optional and i >= n for i, a in enumerate(k.accounts) if i < max(fixed))
+            moved = any(keys[i] != x if i < n else any(key == x and j not in fixed for j, key in enumerate(keys)) for i, x in fixed.items())
+            if skipped or moved:
+                return {}, "the accounts are shifted"
         named: dict[str, object] = {}
-        # trailing accounts with a fixed address may be left out, unless the list looks shifted by that
-        filled = list(keys)
-        while len(filled) < len(k.accounts) and k.accounts[len(filled)].address:
-            filled.append(k.accounts[len(filled)].address)
-        if len(filled) < k.required:
-            return {}, f"too few accounts: {len(keys)}, {k.required} wanted"
         for i, a in enumerate(k.accounts):
-            if a.address and len(keys) < len(k.accounts) and i < len(keys) and keys[i] != a.address and a.address in keys:
-                return {}, "the accounts are shifted"
-            named[a.name] = filled[i] if i < len(filled) else None
-        named[k.rest] = filled[len(k.accounts) :]
+            if i < n:
+                named[a.name] = None if a.optional and keys[i] == self.address else keys[i]
+            elif a.optional or i in fixed:
+                named[a.name] = fixed.get(i)
+            else:
+                return {}, f"too few accounts: {n}, {k.required} wanted"
+        named[k.rest] = keys[len(k.accounts) :]
         return named, None
 
     def event(self, data: bytes) -> tuple[str, dict] | None:
@@ -168,6 +179,50 @@ class Program:
         """array<struct<kind, payload>> of an instruction's events: ``inner``, data of its calls to itself, and its log lines."""
         return _events_udf(self)(lines, inner)
 
+    def account_fields(self, kind: str, data: Column) -> Column:
+        """The typed struct of an account kind with a fixed layout, JVM-side; null where the data isn't one."""
+        k = next(k for k in self.accounts if k.name == kind)
+        return F.when(self.account_kind(data) == kind, columns.fields(k.layout, data, k.skip, self.types))
+
+    def instruction_choice(self, data: Column, n_keys: Column) -> Column:
+        """struct<kind, error>, JVM-side: by discriminators, and of kinds that share theirs that with most accounts that ``n_keys`` suffice for.
+
+        Where a resolver chooses, or batches nest, ``instruction_outcome`` is the way.
+        """
+        pair = lambda kind, error: F.struct(F.lit(kind).cast("string").alias("kind"), F.lit(error).cast("string").alias("error"))
+        groups: dict[tuple[Match, ...], list[Kind]] = {}
+        for k in self.instructions:
+            groups.setdefault(k.match, []).append(k)
+        out = F.when(F.lit(False), pair(None, None))
+        if self.events:
+            out = out.when(F.substring(data, 1, len(self.envelope[0])) == F.lit(self.envelope[0]), pair(None, None))
+        for same in groups.values():
+            best = F.when(F.lit(False), pair(None, None))
+            for least in sorted({k.required for k in same}, reverse=True):
+                these = [k for k in same if k.required == least]
+                twice = f"ambiguous instruction: {these[0].name}, {these[1].name}" if len(these) > 1 else None
+                best = best.when(n_keys >= least, pair(None if twice else these[0].name, twice))
+            out = out.when(same[0].column(data), best.otherwise(pair(same[0].name, "too few accounts")))
+        return out.otherwise(pair(None, "no discriminator matches"))
+
+    def instruction_fields(self, kind: str, data: Column, keys: Column) -> Column:
+        """struct<accounts, args> of an instruction kind with a fixed layout, JVM-side; null where the data or keys aren't one."""
+        k, *others = [k for k in self.instructions if k.name == kind]
+        if any((k.accounts, k.layout, k.skip, k.rest) != (o.accounts, o.layout, o.skip, o.rest) for o in others):
+            raise columns.NotFixed(f"{kind} is the name of several layouts")
+        choice = self.instruction_choice(data, F.size(keys))
+        if any(a.address for a in k.accounts):
+            raise columns.NotFixed(f"{kind} has accounts that may be filled in")
+        itself = F.lit(b58decode(self.address))
+        given = [F.get(keys, F.lit(i)) for i in range(len(k.accounts))]
+        named = [(F.nullif(x, itself) if a.optional else x).alias(a.name) for x, a in zip(given, k.accounts, strict=True)]
+        rest = F.slice(keys, len(k.accounts) + 1, F.greatest(F.size(keys) - len(k.accounts), F.lit(0))).alias(k.rest)
+        args = columns.fields(k.layout, data, k.skip, self.types)
+        fits = (choice["kind"] == kind) & choice["error"].isNull()
+        if not k.layout.fields:
+            return F.when(fits, F.struct(F.struct(*named, rest).alias("accounts")))
+        return F.when(fits & args.isNotNull(), F.struct(F.struct(*named, rest).alias("accounts"), args.alias("args")))
+
     def account_kind(self, data: Column) -> Column:
         """The kind's name alone, JVM-side: the first discriminator that matches."""
         return _case(self.accounts, data)

@@ -69,21 +69,44 @@ def window(data: str | Column, offset: int | Column, length: int | Column) -> Co
     return F.when(F.octet_length(d) >= off + n, F.substring(d, off + 1, n))
 
 
-def reversed_hex(data: Column) -> Column:
-    """Hex digits of the bytes in reverse order.
+def reversed_hex(data: Column, size: int) -> Column:
+    """Hex digits of ``size`` bytes in reverse order.
 
     ``reverse`` on binary would reverse UTF-8 characters, not bytes.
     """
-    return F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))), "")
+    h = F.hex(data)
+    return h if size == 1 else F.concat(*[F.substring(h, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
 
 
 def uint(data: str | Column, offset: int | Column, size: int, big_endian: bool = False) -> Column:
     """Unsigned integer of 1, 2, 4 (BIGINT) or 8 bytes (DECIMAL(20, 0)); null if the data is too short."""
     w = window(data, offset, size)
-    digits = F.conv(F.hex(w) if big_endian else reversed_hex(w), 16, 10)
+    digits = F.conv(F.hex(w) if big_endian else reversed_hex(w, size), 16, 10)
     return digits.cast("decimal(20,0)" if size == 8 else "bigint")
 
 
+def le_bytes(n: Column, size: int) -> Column:
+    """Little-endian bytes of a non-negative integer column; the inverse of ``uint``."""
+    return F.unhex(reversed_hex(F.unhex(F.lpad(F.hex(n), 2 * size, "0")), size))
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum of unsigned 64-bit values, held at their greatest."""
+    top = F.lit(Decimal((1 << 64) - 1)).cast("decimal(20,0)")
+    return F.least((a.cast("decimal(20,0)") + b.cast("decimal(20,0)")).cast("decimal(21,0)"), top).cast("decimal(20,0)")
+
+
+def saturating_sub(a: Column, b: Column) -> Column:
+    """The difference of unsigned 64-bit values, not below zero."""
+    return F.greatest((a.cast("decimal(20,0)") - b.cast("decimal(20,0)")).cast("decimal(21,0)"), F.lit(0)).cast("decimal(20,0)")
+
+
+def checked_add(a: Column, b: Column) -> Column:
+    """The sum of unsigned 64-bit values, null where it doesn't fit."""
+    total = (a.cast("decimal(20,0)") + b.cast("decimal(20,0)")).cast("decimal(21,0)")
+    return F.when(total <= F.lit(Decimal((1 << 64) - 1)), total.cast("decimal(20,0)"))
+
+
 def sint(data: str | Column, offset: int | Column, size: int, big_endian: bool = False) -> Column:
     """Signed integer of 1 to 8 bytes as BIGINT."""
     u = uint(data, offset, size, big_endian)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from slotweave.functions.encoding import discriminator_col
 from slotweave.operators import dispatch, flatten, slots
 from slotweave.operators.ordered import last_wins
 from slotweave.operators.prefilter import DataSize, DataSlice, Filters, Lamports, Memcmp, Prefilter, TransactionPart
-from slotweave.sources import adapters
+from slotweave.sources import adapters, replay
+from slotweave.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -58,26 +61,19 @@ SELECT tx.slot, count(DISTINCT tx.signature) AS transaction_count,
 FROM tx LEFT JOIN ln ON tx.signature = ln.signature GROUP BY tx.slot
 """)
 def slot_commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-slot commit counters: failed transactions count but give no instructions."""
+    """Per-slot commit counters: failed transactions count but give no instructions.
+
+    Transactions and instructions are counted apart and meet per slot, so no transaction is
+    counted once per instruction.
+    """
     tx = adapters.headers(spark, sf_dir).select("slot", "signature", "failed")
-    # lines are counted per transaction first, so that each transaction is one row of the join
-    ln = adapters.lines(spark, sf_dir).groupBy("signature").agg(
-        F.count_if(F.col("program") < 2).alias("decoded"),
-        F.count_if(F.col("program") == 2).alias("filtered"),
-        F.count_if(F.col("program") == 3).alias("fallback"),
-        F.sum(F.when(F.col("program") < 2, F.col("amount")).otherwise(0)).alias("amount"),
-    )
-    of = lambda c: F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).alias(c)
-    return (
-        tx.join(ln, "signature", "left")
-        .groupBy("slot")
-        .agg(
-            F.count(F.lit(1)).alias("transaction_count"),
-            F.count_if("failed").alias("status_failed"),
-            F.count_if(~F.col("failed")).alias("status_succeeded"),
-            *[of(c) for c in ("decoded", "filtered", "fallback", "amount")],
-        )
-    )
+    ln = adapters.lines(spark, sf_dir).join(tx, "signature")
+    p = F.col("program")
+    ln = ln.select("slot", "failed", "amount", F.when(p < 2, "parsed").when(p == 2, "filtered").otherwise("error").alias("outcome"), (p == 3).alias("fallback"))
+    amount = F.coalesce(F.sum(F.when(~F.col("failed") & (F.col("outcome") == "parsed"), F.col("amount"))), F.lit(0))
+    parsed = slots.commits(ln, failed="failed", amount=amount).drop("errors")
+    per = tx.groupBy("slot").agg(F.count(F.lit(1)).alias("transaction_count"), F.count_if("failed").alias("status_failed"), F.count_if(~F.col("failed")).alias("status_succeeded"))
+    return per.join(parsed, "slot", "left").fillna(0, ["decoded", "filtered", "fallback", "amount"])
 
 
 @query("""
@@ -87,13 +83,10 @@ SELECT c_custkey % 100 AS slot, count(CASE WHEN c_nationkey < 20 THEN 1 END) AS
 FROM customer GROUP BY 1
 """)
 def account_commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = adapters.accounts(spark, sf_dir)
-    return a.groupBy("slot").agg(
-        F.count_if(F.col("owner") < 20).alias("decoded_count"),
-        F.count_if(F.col("owner") >= 20).alias("fallback_count"),
-        F.count(F.lit(1)).alias("processed_count"),
-        F.max("write_version").alias("last_write_version"),
-    )
+    known = F.col("owner") < 20
+    a = adapters.accounts(spark, sf_dir).select("slot", "write_version", F.when(known, "parsed").otherwise("error").alias("outcome"), (~known).alias("fallback"))
+    c = slots.commits(a, processed_count=F.count(F.lit(1)), last_write_version=F.max("write_version"))
+    return c.select("slot", F.col("decoded").alias("decoded_count"), F.col("fallback").alias("fallback_count"), "processed_count", "last_write_version")
 
 
 # --- 2.3 prefilters ------------------------------------------------------------------------------
@@ -212,17 +205,66 @@ def owner_routing(spark, sf_dir):
 # --- 2.4 flatten -----------------------------------------------------------------------------------
 
 
+#: Calls of the adapters' nested transactions: place in the order, path and flat path.
+_CALLS = """
+, k AS (SELECT ix.*, CAST(outer_ix AS BIGINT) AS k FROM ix),
+cl AS (SELECT *, k // 3 AS o, k % 3 AS j FROM k),
+pt AS (SELECT *, CAST(o + 1 AS VARCHAR) || CASE WHEN j = 0 THEN '' WHEN j = 1 THEN '.1' WHEN signature % 2 = 1 THEN '.1.1' ELSE '.2' END AS path,
+              CAST(o + 1 AS VARCHAR) || CASE WHEN j = 0 THEN '' ELSE '.' || CAST(j AS VARCHAR) END AS flat FROM cl)
+"""
+
+
+@query(
+    _CALLS
+    + """
+SELECT slot, signature, path, 'g' || program AS program, CASE WHEN signature % 100 = 9 AND j = 0 THEN '' ELSE 'c' || fee_payer || ',' END || 'p' || part || ',s' || supplier AS accounts,
+       CAST(amount AS VARCHAR) AS data, CAST(slot AS VARCHAR) || ':' || signature || ':' || flat AS key, CASE WHEN signature % 100 = 9 AND j = 0 THEN 'bad_account_index' END AS error
+FROM pt WHERE signature % 100 NOT IN (7, 8)
+UNION ALL
+SELECT slot, signature, NULL, NULL, NULL, NULL, NULL, CASE signature % 100 WHEN 7 THEN 'missing_message' ELSE 'bad_inner_index' END
+FROM tx WHERE signature % 100 IN (7, 8) AND signature IN (SELECT signature FROM ln)
+"""
+)
+def flatten_instructions(spark, sf_dir):
+    """Nested transactions to calls: keys resolved over three lists, inner calls below their outer one, faults as rows."""
+    i = flatten.instructions(adapters.nested(spark, sf_dir))
+    text = lambda c: F.decode(c, "UTF-8")
+    key = F.when(F.col("flat_path").isNotNull(), dispatch.instruction_key())
+    return i.select(
+        "slot", "signature", flatten.path_text(F.col("path")).alias("path"), text(F.col("program")).alias("program"),
+        F.array_join(F.transform("accounts", text), ",").alias("accounts"), text(F.col("data")).alias("data"), key.alias("key"), "error",
+    )
+
+
+@query(_CALLS + "SELECT slot, signature, flat, CAST(k AS INTEGER) AS place, j > 0 AS is_child, j > 0 AS is_descendant FROM pt WHERE signature % 100 NOT IN (7, 8) AND NOT (j = 2 AND signature % 2 = 1)"
+       " UNION ALL SELECT slot, signature, flat, CAST(k AS INTEGER), FALSE, TRUE FROM pt WHERE signature % 100 NOT IN (7, 8) AND j = 2 AND signature % 2 = 1")
+def flat_index(spark, sf_dir):
+    """All calls in order of their paths: flat indices, places, and how each hangs below its outer call."""
+    i = flatten.instructions(adapters.nested(spark, sf_dir)).where("path is not null")
+    place = F.row_number().over(Window.partitionBy("signature").orderBy("path")) - 1
+    outer = F.slice("path", 1, 1)
+    return i.select("slot", "signature", F.col("ix_index").alias("flat"), place.alias("place"), flatten.is_parent(outer, F.col("path")).alias("is_child"), flatten.is_ancestor(outer, F.col("path")).alias("is_descendant"))
+
+
 @query("""
-SELECT slot, signature, outer_ix, program, part || ',' || supplier || ',' || fee_payer AS accounts, amount,
-       CAST(slot AS VARCHAR) || ':' || signature || ':' || (outer_ix + 1) AS key
-FROM ix WHERE NOT failed
+, n AS (SELECT signature, count(*) AS n FROM ln GROUP BY signature),
+c AS (SELECT signature, unnest(range(0, n)) AS k FROM n)
+SELECT signature, CAST(k AS INTEGER) AS call, CAST(5 * k AS INTEGER) AS outer_start, CAST(5 * k + 5 AS INTEGER) AS outer_end, CAST(5 * k + 1 AS INTEGER) AS inner_start, CAST(5 * k + 4 AS INTEGER) AS inner_end, 2 AS own_lines FROM c
 """)
-def flatten_instructions(spark, sf_dir):
-    i = adapters.instructions(spark, sf_dir).where("not failed")
-    ix_index = flatten.path_text(F.array(F.col("outer").cast("int")))
-    accounts = F.concat_ws(",", *[F.col(c).cast("string") for c in ("part", "supplier", "fee_payer")])
-    key = dispatch.instruction_key(ix=ix_index)
-    return i.select("slot", "signature", F.col("outer").alias("outer_ix"), "program", accounts.alias("accounts"), "amount", key.alias("key"))
+def log_slices(spark, sf_dir):
+    """Log lines to calls: each outer call writes two lines of its own around the three of its inner one."""
+    t = adapters.calls(spark, sf_dir)
+    say = lambda x, what: F.concat(F.lit("Program g"), x["program"], F.lit(f" {what}"))
+    lines = F.flatten(F.transform("calls", lambda x: F.array(say(x, "invoke [1]"), F.lit("Program inner invoke [2]"), F.lit("Program log: inner invoke [1]"), F.lit("Program inner success"), say(x, "success"))))
+    tree = F.flatten(F.transform("calls", lambda _, k: F.array(F.array(k), F.array(k, F.lit(0)))))
+    programs = F.flatten(F.transform("calls", lambda x: F.array(F.concat(F.lit("g"), x["program"]), F.lit("inner"))))
+    t = t.select("signature", lines.alias("lines"), flatten.log_slices(lines, programs, tree).alias("s")).select("signature", "lines", F.posexplode("s").alias("i", "x"), "s")
+    outer = t.where("i % 2 = 0").withColumn("y", F.get("s", F.col("i") + 1))
+    own = flatten.direct_lines(F.slice("lines", F.col("x.log_start") + 1, F.col("x.log_end") - F.col("x.log_start")))
+    return outer.select(
+        "signature", (F.col("i") / 2).cast("int").alias("call"), F.col("x.log_start").alias("outer_start"), F.col("x.log_end").alias("outer_end"),
+        F.col("y.log_start").alias("inner_start"), F.col("y.log_end").alias("inner_end"), F.size(own).alias("own_lines"),
+    )
 
 
 _HEIGHTS = "list_transform(list(role ORDER BY turn), lambda r: CASE r WHEN 'system' THEN NULL WHEN 'user' THEN 2 ELSE 3 END)"
@@ -311,15 +353,14 @@ def log_line_kinds(spark, sf_dir):
 # --- 2.6, 2.7 dispatch --------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECO%' THEN 'economy' WHEN p_type LIKE 'PRO%' THEN 'promo' WHEN p_size = 7 THEN 'sized' END AS kind FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECO%' THEN 'economy' WHEN p_type LIKE 'PRO%' THEN 'promo' WHEN length(p_type) = 20 THEN 'sized' END AS kind FROM part")
 def discriminator_dispatch(spark, sf_dir):
     """The first discriminator that matches decides: two constants, then a size."""
     from slotweave.decode.ir import Struct
     from slotweave.decode.program import Kind, Match, Program
 
-    p = Program("parts", "", accounts=(Kind("economy", Struct(()), (Match(0, b"ECO"),)), Kind("promo", Struct(()), (Match(0, b"PRO"),))))
-    data = F.encode("p_type", "UTF-8")
-    kind = F.coalesce(p.account_kind(data), F.when(F.col("p_size") == 7, "sized"))
+    p = Program("parts", "", accounts=(Kind("economy", Struct(()), (Match(0, b"ECO"),)), Kind("promo", Struct(()), (Match(0, b"PRO"),)), Kind("sized", Struct(()), (Match(size=20),))))
+    kind = p.account_kind(F.encode("p_type", "UTF-8"))
     return adapters.table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
@@ -329,12 +370,14 @@ SELECT signature, n, CASE WHEN n >= 6 THEN 'six' WHEN n >= 3 THEN 'three' ELSE '
 """)
 def collision_by_account_count(spark, sf_dir):
     """One discriminator, two kinds: the one that wants more accounts goes first."""
+    from slotweave.decode.ir import Struct
+    from slotweave.decode.program import AccountSpec, Kind, Match, Program
+
+    kind = lambda name, n: Kind(name, Struct(()), (Match(0, b"\x07"),), tuple(AccountSpec(f"a{i}") for i in range(n)))
+    p = Program("p", "", instructions=(kind("three", 3), kind("six", 6)))
     n = adapters.lines(spark, sf_dir).groupBy("signature").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    wanted = sorted({"three": 3, "six": 6}.items(), key=lambda x: -x[1])
-    kind = F.when(F.col("n") >= wanted[0][1], wanted[0][0])
-    for name, least in wanted[1:]:
-        kind = kind.when(F.col("n") >= least, name)
-    return n.select("signature", "n", kind.otherwise("error").alias("kind"))
+    c = p.instruction_choice(F.lit(b"\x07"), F.col("n"))
+    return n.select("signature", "n", F.when(c["error"].isNull(), c["kind"]).otherwise("error").alias("kind"))
 
 
 @query("""
@@ -388,15 +431,25 @@ def record_keys_headers(spark, sf_dir):
     return r.select("topic", "key", flat.alias("headers"), "is_decoded")
 
 
-@query("""
-SELECT signature, outer_ix, '{"slot":' || slot || ',"signature":"' || signature || '","ix_index":"' || (outer_ix + 1) || '","program":' || program || '}' AS payload
-FROM ix WHERE program = 3 AND NOT failed
+@query(_CALLS + """
+SELECT signature, flat, '{"slot":"' || slot || '","signature":"' || hex(encode(CAST(signature AS VARCHAR))) || '","ix_index":"' || flat || '","program":"' || hex(encode('g' || program)) ||
+       '","accounts":["' || hex(encode('c' || fee_payer)) || '","' || hex(encode('p' || part)) || '","' || hex(encode('s' || supplier)) || '"],"data":"' || to_base64(encode(CAST(amount AS VARCHAR))) || '"}' AS payload
+FROM pt WHERE program = 3 AND NOT failed AND signature % 100 NOT IN (7, 8, 9)
 """)
 def json_fallback_payload(spark, sf_dir):
-    """Undecoded instructions as JSON; null fields (none here) would be left out."""
-    i = adapters.instructions(spark, sf_dir).where("program = 3 and not failed")
-    fields = F.struct("slot", F.col("signature").cast("string").alias("signature"), (F.col("outer") + 1).cast("string").alias("ix_index"), "program", F.lit(None).cast("string").alias("parse_error"))
-    return i.select("signature", F.col("outer").alias("outer_ix"), F.to_json(fields).alias("payload"))
+    """Undecoded instructions as JSON; null fields (no parse error here) are left out."""
+    i = flatten.instructions(adapters.nested(spark, sf_dir)).where("not failed and signature % 100 < 7 or signature % 100 > 9").where("not failed")
+    i = i.where(F.col("program") == F.lit(b"g3")).withColumn("signature_id", F.col("signature"))
+    i = i.withColumn("signature", F.encode(F.col("signature").cast("string"), "UTF-8"))
+    return i.select(F.col("signature_id").alias("signature"), F.col("ix_index").alias("flat"), dispatch.raw_instruction().alias("payload"))
+
+
+@query("SELECT c_custkey AS pubkey, '{\"slot\":\"' || (c_custkey % 100) || '\",\"pubkey\":\"' || hex(encode(CAST(c_custkey AS VARCHAR))) || '\",\"owner\":\"' || hex(encode(CAST(c_nationkey AS VARCHAR))) || '\",\"lamports\":\"' || CAST(round(c_acctbal * 100) AS BIGINT) || '\",\"write_version\":\"' || c_custkey || '\",\"data\":\"' || to_base64(encode(c_name)) || '\",\"parse_error\":\"unknown owner\"}' AS payload, (c_custkey % 100) || ':' || c_custkey || ':' || c_custkey AS key FROM customer WHERE c_nationkey >= 20")
+def account_fallback_records(spark, sf_dir):
+    """Accounts that no parser takes: the record's key and its JSON."""
+    a = adapters.accounts(spark, sf_dir).where("owner >= 20").withColumn("id", F.col("pubkey"))
+    a = a.withColumns({"key": dispatch.account_key(), "error": F.lit("unknown owner"), **{c: F.encode(F.col(c).cast("string"), "UTF-8") for c in ("pubkey", "owner")}})
+    return a.select(F.col("id").alias("pubkey"), dispatch.raw_account().alias("payload"), "key")
 
 
 @query("SELECT p_partkey, substr(sha256('global:' || p_name), 1, 16) AS discriminator FROM part")
@@ -426,10 +479,10 @@ def duplicate_last_wins(spark, sf_dir):
 SELECT slot, row_number() OVER (PARTITION BY slot ORDER BY tx.signature) - 1 AS tx_index, tx.signature FROM tx WHERE slot BETWEEN 100 AND 1000
 """)
 def epoch_range_scan(spark, sf_dir):
-    """A half-open range of slots: the range is a predicate on the scan's own column."""
-    first, last = (F.date_add(F.lit(adapters.EPOCH).cast("date"), d) for d in (100, 1001))
-    o = adapters.table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < last))
-    o = o.select(adapters.slot_of(F.col("o_orderdate")).alias("slot"), F.col("o_orderkey").alias("signature"))
+    """A half-open range of slots of a capture: the range prunes its folders and is a predicate on the scan."""
+    path = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
+    replay.capture(adapters.headers(spark, sf_dir).select("slot", "signature"), path)
+    o = replay.read_range(spark, path, 100, 1001)
     return o.select("slot", (F.row_number().over(Window.partitionBy("slot").orderBy("signature")) - 1).cast("bigint").alias("tx_index"), "signature")
 
 

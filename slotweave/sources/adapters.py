@@ -81,6 +81,44 @@ def with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("account_keys", F.concat(payer, F.coalesce("keys", F.array().cast("array<string>")))).drop("keys")
 
 
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signature, calls: an order's lines in the order of calls, as structs (part, supplier, program, amount)."""
+    order = F.struct("l_linenumber", "part", "supplier", "l_shipdate", "price", "amount", "program")
+    i = lines(spark, sf_dir).groupBy("signature").agg(F.array_sort(F.collect_list(order)).alias("c"))
+    return i.select("signature", F.transform("c", lambda x: F.struct(x["part"].alias("part"), x["supplier"].alias("supplier"), x["program"].alias("program"), x["amount"].alias("amount"))).alias("calls"))
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as a source delivers them: three lists of keys and calls by index into them.
+
+    Every third line of an order is an outer call; the two behind it are its inner ones, the
+    second below the first (orders with an even key don't know the heights). Orders whose
+    key ends in 07 have no message, in 08 an inner call of no outer one, in 09 an account
+    that isn't listed.
+    """
+    t = headers(spark, sf_dir).join(calls(spark, sf_dir), "signature")
+    n, last = F.size("calls"), F.col("signature") % 100
+    key = lambda letter, c: F.encode(F.concat(F.lit(letter), c.cast("string")), "UTF-8")
+
+    def call(x, k, height=None):
+        first = F.when(last == 9, 999).otherwise(0) if height is None else F.lit(0)
+        out = [(2 * n + 1 + x["program"]).cast("int").alias("program_id_index"), F.array(first, k + 1, n + 1 + k).alias("accounts"), F.encode(x["amount"].cast("string"), "UTF-8").alias("data")]
+        return F.struct(*out, *([height.cast("int").alias("stack_height")] if height is not None else []))
+
+    height = lambda h: F.when(F.col("signature") % 2 == 1, F.lit(h))
+    outer = F.transform(F.sequence(F.lit(0), ((n - 1) / 3).cast("int")), lambda o: call(F.get("calls", o * 3), o * 3))
+    below = lambda o: F.filter(F.array(*[F.when(o * 3 + h - 1 < n, call(F.get("calls", o * 3 + h - 1), o * 3 + h - 1, height(h))) for h in (2, 3)]), lambda x: x.isNotNull())
+    inner = F.transform(F.sequence(F.lit(0), ((n - 1) / 3).cast("int")), lambda o: F.struct(F.when(last == 8, 99).otherwise(o).alias("index"), below(o).alias("instructions")))
+    return t.select(
+        "slot", "signature", "failed",
+        F.concat(F.array(key("c", F.col("fee_payer"))), F.transform("calls", lambda x: key("p", x["part"]))).alias("static_keys"),
+        F.transform("calls", lambda x: key("s", x["supplier"])).alias("loaded_writable"),
+        F.array(*[F.lit(f"g{i}".encode()) for i in range(4)]).alias("loaded_readonly"),
+        F.when(last != 7, outer).alias("instructions"),
+        inner.alias("inner_instructions"),
+    )
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("pubkey"),

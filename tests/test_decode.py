@@ -114,9 +114,23 @@ def test_ambiguity_is_an_error():
 
 
 def test_fixed_addresses():
-    p = Program("p", "", instructions=(Kind("a", Struct(()), (Match(0, b"\1"),), (AccountSpec("x"), AccountSpec("sys", address="S"))),))
+    def program(*accounts):
+        return Program("p", "Me", instructions=(Kind("a", Struct(()), (Match(0, b"\1"),), accounts),))
+
+    x, sys, opt, rent = AccountSpec("x"), AccountSpec("sys", address="S"), AccountSpec("opt", True), AccountSpec("rent", address="R")
+    p = program(x, sys)
     assert p.instruction(b"\1", ["k"])[2]["accounts"] == {"x": "k", "sys": "S", "remaining_accounts": []}
-    assert p.instruction(b"\1", ["S"])[3] == "the accounts are shifted" or p.instruction(b"\1", ["S"])[0] == "parsed"
+    # S stands where x should: x was left out, so nothing may be filled in
+    assert p.instruction(b"\1", ["S"]) == ("error", "a", None, "the accounts are shifted")
+    assert p.instruction(b"\1", ["k", "T"])[2]["accounts"]["sys"] == "T"  # in a full list, addresses are as they come
+    assert p.instruction(b"\1", [])[3].startswith("too few")
+    q = program(sys, x, rent)
+    assert q.instruction(b"\1", ["S", "k"])[2]["accounts"]["rent"] == "R"
+    assert q.instruction(b"\1", ["T", "k"])[3] == "the accounts are shifted"  # the one that is there differs
+    assert q.instruction(b"\1", ["S", "R"])[3] == "the accounts are shifted"
+    assert program(x, opt, rent).instruction(b"\1", ["k"])[3] == "the accounts are shifted"  # an optional one before is missing
+    got = program(x, opt, rent).instruction(b"\1", ["k", "Me"])[2]["accounts"]
+    assert got == {"x": "k", "opt": None, "rent": "R", "remaining_accounts": []}  # the program itself: not given
 
 
 ANCHOR = {
@@ -212,6 +226,67 @@ def test_outcomes_as_columns(spark):
     assert [r[0] for r in kinds] == ["Transfer", "Transfer"]
 
 
+def test_compiled_layouts_equal_the_readers(spark):
+    """Every kind with a fixed layout, over whole, cut and random bytes: Columns and Python readers agree."""
+    from slotweave.decode.columns import NotFixed
+
+    rng, done = random.Random(11), 0
+    plain = lambda v: {k: plain(x) for k, x in v.asDict().items()} if hasattr(v, "asDict") else [plain(x) for x in v] if isinstance(v, list) else enc.b58encode(bytes(v)) if isinstance(v, bytes | bytearray) else int(v) if type(v).__name__ == "Decimal" else v
+    some = {TOKEN: ("Transfer", "InitializeMint", "SetAuthority", "Revoke"), LOADER: ("Upgrade", "SetAuthority", "ExtendProgram"), STAKE_POOL: ("SetPreferredValidator",)}
+    for program, names in some.items():
+        rows = []
+        for k in program.instructions:
+            if k.name in names:
+                size = k.layout.size(program.types) or 40
+                for n in sorted({0, 1, size, size + 3}):
+                    for _ in range(4):
+                        body = bytes(rng.choice([0, 1, 2, rng.randrange(256)]) for _ in range(n))
+                        keys = [bytes([rng.randrange(256)]) * 32 for _ in range(rng.choice([0, k.required, k.required + 2, 12]))]
+                        rows.append((len(rows), k.match[0].value + body, keys))
+        df = spark.createDataFrame(rows, "i int, d binary, keys array<binary>")
+        got = {(n, r.i): r.v for n in names for r in df.select("i", program.instruction_fields(n, F.col("d"), F.col("keys")).alias("v")).collect()}
+        for i, d, keys in rows:
+            state, kind, value, _ = program.instruction(d, [enc.b58encode(x) for x in keys])
+            found = {n: plain(got[n, i]) for n in names if got[n, i] is not None}
+            if state == "parsed":
+                args = value["args"]
+                assert found == {kind: {"accounts": value["accounts"]} | ({"args": args} if args else {})}, (program.name, kind, d.hex())
+                done += 1
+            else:
+                assert not found, (program.name, kind, d.hex())
+    assert done > 40
+    with pytest.raises(NotFixed):
+        TOKEN.instruction_fields("InitializeMultisig", F.col("d"), F.col("keys"))
+    accounts = [(0, bytes(82)), (1, bytes(45) + b"\1" + bytes(36)), (2, rng.randbytes(165)), (3, b"\1\0\0\0" + bytes(range(161))), (4, bytes(81)), (5, b"\1" + bytes(354))]
+    df = spark.createDataFrame(accounts, "i int, d binary")
+    for name in ("Mint", "TokenAccount", "Multisig"):
+        for r in df.select("i", TOKEN.account_fields(name, F.col("d")).alias("v")).collect():
+            state, kind, value, _ = TOKEN.account(accounts[r.i][1])
+            assert plain(r.v) == (value if (state, kind) == ("parsed", name) else None)
+
+
+def test_choice_by_accounts_in_columns(spark):
+    p = idl.load(json.dumps(NODES))
+    same = (Match(0, b"\1"),)
+    q = Program("q", "", instructions=(Kind("a", Struct(()), same, (AccountSpec("x"),)), Kind("b", Struct(()), same, (AccountSpec("y"),))))
+    df = spark.createDataFrame([(b"\7", 0), (b"\7", 1), (b"\7", 4), (b"\1", 1), (b"zz", 1)], "d binary, n int")
+    got = [tuple(r) for r in df.select(p.instruction_choice(F.col("d"), F.col("n")).alias("c")).select("c.*").collect()]
+    assert got == [("small", "too few accounts"), ("small", None), ("large", None), (None, "no discriminator matches"), (None, "no discriminator matches")]
+    assert df.select(q.instruction_choice(F.col("d"), F.col("n"))["error"]).collect()[3][0] == "ambiguous instruction: a, b"
+
+
+def test_checked_and_saturating(spark):
+    from decimal import Decimal
+
+    top = Decimal(2**64 - 1)
+    df = spark.createDataFrame([(top, Decimal(1)), (Decimal(3), Decimal(5))], "a decimal(20,0), b decimal(20,0)")
+    a, b = F.col("a"), F.col("b")
+    got = [tuple(r) for r in df.select(enc.saturating_add(a, b), enc.saturating_sub(a, b), enc.checked_add(a, b)).collect()]
+    assert got == [(top, top - 1, None), (8, 0, 8)]
+    n = spark.createDataFrame([(0,), (258,), (2**31,)], "n bigint")
+    assert [bytes(r[0]) for r in n.select(enc.le_bytes(F.col("n"), 8)).collect()] == [x.to_bytes(8, "little") for x in (0, 258, 2**31)]
+
+
 def test_c_layout():
     def program(**more):
         fields = [{"name": "a", "type": "u8"}, {"name": "b", "type": "u64"}, {"name": "k", "type": "pubkey"}, {"name": "c", "type": "u16"}]
