@@ -1,13 +1,13 @@
 """Programs that ship with the engine: the token program, its extensions' envelopes, the
 upgradeable loader and the stake pool.
 
-Layouts are public interfaces of the programs. ``accounts`` are positions in the
+Fixed values: tags, names, account lists and layouts are the public interfaces of the programs. ``accounts`` are positions in the
 instruction's account list; what is beyond them goes under ``rest``.
 """
 
 from __future__ import annotations
 
-from slotweave.decode.ir import Bool, Bytes, Enum, Items, Key, Node, Num, Option, Prefixed, Sized, Struct
+from slotweave.decode.ir import Bool, Bytes, Enum, Items, Key, Node, Num, Option, Prefixed, Sized, Struct, ZeroOption
 from slotweave.decode.program import AccountSpec, Kind, Match, Program
 
 U8, U16, U32, U64 = Num("u8"), Num("u16"), Num("u32"), Num("u64")
@@ -154,16 +154,49 @@ COMMON_EXT = {
 SWITCHED = (30, 34)
 
 
+#: Arguments by extension and step; those of the switches have none.
+MAYBE_KEY = ZeroOption(KEY)
+COMMON_ARGS: dict[str, tuple[dict[str, Node], dict[str, Node]]] = {
+    "DefaultAccountState": ({"state": STATE}, {"state": STATE}),
+    "InterestBearingMint": ({"rate_authority": MAYBE_KEY, "rate": Num("i16")}, {"rate": Num("i16")}),
+    "TransferHook": ({"authority": MAYBE_KEY, "program_id": MAYBE_KEY}, {"program_id": MAYBE_KEY}),
+    "MetadataPointer": ({"authority": MAYBE_KEY, "metadata_address": MAYBE_KEY}, {"metadata_address": MAYBE_KEY}),
+    "GroupPointer": ({"authority": MAYBE_KEY, "group_address": MAYBE_KEY}, {"group_address": MAYBE_KEY}),
+    "GroupMemberPointer": ({"authority": MAYBE_KEY, "member_address": MAYBE_KEY}, {"member_address": MAYBE_KEY}),
+}
+
+
 def _common() -> tuple[Kind, ...]:
     out = []
     for tag, name in COMMON_EXT.items():
         names = ("Enable", "Disable") if tag in SWITCHED else ("Initialize", "Update")
         for sub, what in enumerate(names):
             accounts = "account owner" if tag in SWITCHED else ("mint", "mint extension_authority")[sub]
-            out.append(_ix(tag, f"{name}.{what}", accounts, {"raw": Bytes()}, more=bytes([sub])))
+            out.append(_ix(tag, f"{name}.{what}", accounts, COMMON_ARGS.get(name, ({}, {}))[sub], more=bytes([sub])))
     return tuple(out)
 
 
+#: An encrypted balance, a public key of the encryption, and the offset of a proof's instruction.
+CIPHER, POINT, PROOF = Sized(36, Bytes()), Sized(32, Bytes()), Num("i8")
+CONFIDENTIAL_ARGS: dict[str, dict[str, Node]] = {
+    "InitializeMint": {"authority": MAYBE_KEY, "auto_approve_new_accounts": Bool(), "auditor_elgamal_pubkey": ZeroOption(POINT)},
+    "UpdateMint": {"auto_approve_new_accounts": Bool(), "auditor_elgamal_pubkey": ZeroOption(POINT)},
+    "ConfigureAccount": {"decryptable_zero_balance": CIPHER, "maximum_pending_balance_credit_counter": U64, "proof_instruction_offset": PROOF},
+    "EmptyAccount": {"proof_instruction_offset": PROOF},
+    "Deposit": {"amount": U64, "decimals": U8},
+    "Withdraw": {"amount": U64, "decimals": U8, "new_decryptable_available_balance": CIPHER, "equality_proof_instruction_offset": PROOF, "range_proof_instruction_offset": PROOF},
+    "ApplyPendingBalance": {"expected_pending_balance_credit_counter": U64, "new_decryptable_available_balance": CIPHER},
+    **dict.fromkeys(("ApproveAccount", "EnableConfidentialCredits", "DisableConfidentialCredits", "EnableNonConfidentialCredits", "DisableNonConfidentialCredits", "ConfigureAccountWithRegistry"), {}),
+}
+#: The program's versions differ in the ciphertexts of these, which stay bytes.
+CONFIDENTIAL_RAW = ("Transfer", "TransferWithFee")
+CONFIDENTIAL_FEE_ARGS: dict[str, dict[str, Node]] = {
+    "InitializeConfidentialTransferFeeConfig": {"authority": MAYBE_KEY, "withdraw_withheld_authority_elgamal_pubkey": POINT},
+    "WithdrawWithheldTokensFromMint": {"proof_instruction_offset": PROOF, "new_decryptable_available_balance": CIPHER},
+    "WithdrawWithheldTokensFromAccounts": {"num_token_accounts": U8, "proof_instruction_offset": PROOF, "new_decryptable_available_balance": CIPHER},
+    **dict.fromkeys(("HarvestWithheldTokensToMint", "EnableHarvestToMint", "DisableHarvestToMint"), {}),
+}
+
 FEE = {"transfer_fee_basis_points": U16, "maximum_fee": U64}
 EXTENDED_INSTRUCTIONS = (
     *(k for k in TOKEN_INSTRUCTIONS if k.name not in ("WithdrawExcessLamports", "UnwrapLamports", "SetAuthority")),
@@ -176,7 +209,7 @@ EXTENDED_INSTRUCTIONS = (
     _ix(26, "TransferFee.HarvestWithheldTokensToMint", "mint", None, "source_accounts", more=b"\4"),
     _ix(26, "TransferFee.SetTransferFee", "mint authority", FEE, more=b"\5"),
     *(
-        _ix(27, f"ConfidentialTransfer.{n}", a, {"raw": Bytes()}, more=bytes([i]))
+        _ix(27, f"ConfidentialTransfer.{n}", a, {"raw": Bytes()} if n in CONFIDENTIAL_RAW else CONFIDENTIAL_ARGS[n], more=bytes([i]))
         for i, (n, a) in enumerate(
             (
                 ("InitializeMint", "mint"), ("UpdateMint", "mint authority"), ("ConfigureAccount", "account mint sysvar owner"), ("ApproveAccount", "account mint authority"),
@@ -193,7 +226,7 @@ EXTENDED_INSTRUCTIONS = (
     *_common(),
     _ix(35, "InitializePermanentDelegate", "account", {"delegate": KEY}),
     *(
-        _ix(37, f"ConfidentialTransferFee.{n}", a, {"raw": Bytes()}, r, more=bytes([i]))
+        _ix(37, f"ConfidentialTransferFee.{n}", a, CONFIDENTIAL_FEE_ARGS[n], r, more=bytes([i]))
         for i, (n, a, r) in enumerate(
             (
                 ("InitializeConfidentialTransferFeeConfig", "mint", SIGNERS),
@@ -218,13 +251,13 @@ def _interface(namespace: str, name: str, accounts: str, args: dict[str, Node])
     return Kind(name, Struct(tuple(args.items())), (Match(0, tag),), specs, 8)
 
 
-RAW = {"raw": Bytes()}
+FIELD = Enum((("Name", None), ("Symbol", None), ("Uri", None), ("Key", TEXT)))
 INTERFACES = (
-    _interface("spl_token_metadata_interface:initialize_account", "TokenMetadata.Initialize", "metadata update_authority mint mint_authority", RAW),
-    _interface("spl_token_metadata_interface:updating_field", "TokenMetadata.UpdateField", "metadata update_authority", RAW),
-    _interface("spl_token_metadata_interface:remove_key_ix", "TokenMetadata.RemoveKey", "metadata update_authority", RAW),
-    _interface("spl_token_metadata_interface:update_the_authority", "TokenMetadata.UpdateAuthority", "metadata current_update_authority", RAW),
-    _interface("spl_token_metadata_interface:emitter", "TokenMetadata.Emit", "metadata", RAW),
+    _interface("spl_token_metadata_interface:initialize_account", "TokenMetadata.Initialize", "metadata update_authority mint mint_authority", {"name": TEXT, "symbol": TEXT, "uri": TEXT}),
+    _interface("spl_token_metadata_interface:updating_field", "TokenMetadata.UpdateField", "metadata update_authority", {"field": FIELD, "value": TEXT}),
+    _interface("spl_token_metadata_interface:remove_key_ix", "TokenMetadata.RemoveKey", "metadata update_authority", {"idempotent": Bool(), "key": TEXT}),
+    _interface("spl_token_metadata_interface:update_the_authority", "TokenMetadata.UpdateAuthority", "metadata current_update_authority", {"new_authority": MAYBE_KEY}),
+    _interface("spl_token_metadata_interface:emitter", "TokenMetadata.Emit", "metadata", {"start": Option(U64), "end": Option(U64)}),
     _interface("spl_token_group_interface:initialize_token_group", "TokenGroup.InitializeGroup", "group mint mint_authority", {"update_authority": KEY, "max_size": U64}),
     _interface("spl_token_group_interface:update_group_max_size", "TokenGroup.UpdateGroupMaxSize", "group update_authority", {"max_size": U64}),
     _interface("spl_token_group_interface:update_authority", "TokenGroup.UpdateGroupAuthority", "group current_authority", {"new_authority": KEY}),

@@ -6,6 +6,7 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from slotweave.decode import columns
 from slotweave.decode.ir import DecodeError, Node, Struct
-from slotweave.functions.encoding import b58decode, window
+from slotweave.functions.encoding import b58decode
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Match:
     def column(self, data: Column) -> Column:
         if self.size is not None:
             return F.octet_length(data) == self.size
-        return F.coalesce(window(data, self.offset, len(self.value)) == F.lit(self.value), F.lit(False))
+        return F.coalesce(F.substring(data, self.offset + 1, len(self.value)) == F.lit(self.value), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -182,7 +183,9 @@ class Program:
     def account_fields(self, kind: str, data: Column) -> Column:
         """The typed struct of an account kind with a fixed layout, JVM-side; null where the data isn't one."""
         k = next(k for k in self.accounts if k.name == kind)
-        return F.when(self.account_kind(data) == kind, columns.fields(k.layout, data, k.skip, self.types))
+        value, ok = columns.fields(k.layout, data, k.skip, self.types)
+        mine = k.column(data) if _apart(k.match, [x.match for x in self.accounts if x is not k]) else self.account_kind(data) == kind
+        return F.when(mine & ok, value)
 
     def instruction_choice(self, data: Column, n_keys: Column) -> Column:
         """struct<kind, error>, JVM-side: by discriminators, and of kinds that share theirs that with most accounts that ``n_keys`` suffice for.
@@ -210,18 +213,22 @@ class Program:
         k, *others = [k for k in self.instructions if k.name == kind]
         if any((k.accounts, k.layout, k.skip, k.rest) != (o.accounts, o.layout, o.skip, o.rest) for o in others):
             raise columns.NotFixed(f"{kind} is the name of several layouts")
-        choice = self.instruction_choice(data, F.size(keys))
         if any(a.address for a in k.accounts):
             raise columns.NotFixed(f"{kind} has accounts that may be filled in")
-        itself = F.lit(b58decode(self.address))
+        itself, n = F.lit(b58decode(self.address)), F.size(keys)
         given = [F.get(keys, F.lit(i)) for i in range(len(k.accounts))]
         named = [(F.nullif(x, itself) if a.optional else x).alias(a.name) for x, a in zip(given, k.accounts, strict=True)]
-        rest = F.slice(keys, len(k.accounts) + 1, F.greatest(F.size(keys) - len(k.accounts), F.lit(0))).alias(k.rest)
-        args = columns.fields(k.layout, data, k.skip, self.types)
-        fits = (choice["kind"] == kind) & choice["error"].isNull()
-        if not k.layout.fields:
-            return F.when(fits, F.struct(F.struct(*named, rest).alias("accounts")))
-        return F.when(fits & args.isNotNull(), F.struct(F.struct(*named, rest).alias("accounts"), args.alias("args")))
+        rest = F.slice(keys, len(k.accounts) + 1, F.greatest(n - len(k.accounts), F.lit(0))).alias(k.rest)
+        args, ok = columns.fields(k.layout, data, k.skip, self.types)
+        tags = [x.match for x in self.instructions if x.name != kind] + [(Match(0, self.envelope[0]),)] * bool(self.events)
+        if all(_apart(x.match, tags) for x in (k, *others)):
+            # no other kind has these discriminators: they and the number of keys decide
+            fits = reduce(lambda a, b: a | b, [x.column(data) for x in (k, *others)]) & (n >= k.required)
+        else:
+            choice = self.instruction_choice(data, n)
+            fits = (choice["kind"] == kind) & choice["error"].isNull()
+        accounts = F.struct(*named, rest).alias("accounts")
+        return F.when(fits & ok, F.struct(accounts, args.alias("args")) if k.layout.fields else F.struct(accounts))
 
     def account_kind(self, data: Column) -> Column:
         """The kind's name alone, JVM-side: the first discriminator that matches."""
@@ -261,6 +268,18 @@ class Program:
                     raise ValueError(f"instruction {k.name} collides with the event tag")
 
 
+def _apart(match: tuple[Match, ...], others: list[tuple[Match, ...]]) -> bool:
+    """Whether no data can hold for ``match`` and for one of the others."""
+
+    def differ(a: Match, b: Match) -> bool:
+        if a.size is not None or b.size is not None:
+            return a.size is not None and b.size is not None and a.size != b.size
+        n = min(len(a.value), len(b.value))
+        return a.offset == b.offset and a.value[:n] != b.value[:n]
+
+    return all(any(differ(a, b) for a in match for b in other) for other in others)
+
+
 OUTCOME = "outcome string, kind string, payload string, error string"
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from slotweave.decode import ir
 from slotweave.decode.program import Program
 from slotweave.functions.encoding import b58decode, pascal, snake
@@ -105,6 +108,23 @@ def schema_text(program: Program) -> str:
     return f'syntax = "proto3";\n\npackage {snake(program.name)};\n\n' + "\n\n".join([*w.messages, *groups]) + "\n"
 
 
+def message_column(layout: ir.Struct, data, types: dict[str, ir.Node] | None = None):
+    """A Column of the messages of binary values, by Arrow batches; null where a value can't be read."""
+    known = types or {}
+
+    def one(x) -> bytes | None:
+        try:
+            return None if x is None else encode(layout, layout.read(bytes(x), 0, known)[0], known)
+        except ir.DecodeError:
+            return None
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return run(data)
+
+
 # --- encoding --------------------------------------------------------------------------------------
 
 

@@ -79,9 +79,28 @@ class Registry:
         return out.fillna(FILTERED, ["outcome"]).fillna(False, ["fallback"])
 
 
+def handled(dispatched: DataFrame, handlers: dict[str, Column]) -> DataFrame:
+    """Adds ``handler_errors``, array<struct<handler, error>>, of parsed rows.
+
+    ``handlers``: by name a Column that is null where the handler took the row, else its
+    error. All of them see every parsed row, and all their errors are kept.
+    """
+    failed = [F.when((F.col("outcome") == PARSED) & c.isNotNull(), F.struct(F.lit(n).alias("handler"), c.cast("string").alias("error"))) for n, c in handlers.items()]
+    none = F.array().cast("array<struct<handler:string,error:string>>")
+    return dispatched.withColumn("handler_errors", F.array_compact(F.array(*failed)) if failed else none)
+
+
+#: Lookup tables of more rows are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def routed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows with the parser names of their key: one row per (row, parser). ``keys``: on, parser."""
-    return df.join(F.broadcast(keys), on)
+    """Rows with the parser names of their key: one row per (row, parser). ``keys``: on, parser.
+
+    The lookup table is broadcast only if it is counted to be small.
+    """
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if small else keys, on)
 
 
 def text(c: str | Column) -> Column:

@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 from slotweave.decode.builtin import PROGRAMS
 from slotweave.decode.ir import Num, Struct
 from slotweave.decode.program import Kind, Match, Program
-from slotweave.functions.encoding import canonical_base64, sint, uint
+from slotweave.functions.encoding import canonical_base64, le_bytes, sint, uint
 from slotweave.plans.transactions import query
 from slotweave.sinks.slots import confluent
 from slotweave.sources import adapters
 
 
-def _le(n, size: int):
-    """Little-endian bytes of a non-negative integer column."""
-    digits = F.lpad(F.hex(n), 2 * size, "0")
-    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), ""))
+_le = le_bytes
 
 
 @query("SELECT signature, outer_ix, 'TransferChecked' AS kind, amount, CAST(program AS BIGINT) AS decimals, 'parsed' AS outcome FROM ix WHERE NOT failed")
 def token_transfer_decode(spark, sf_dir):
-    """Token instructions written as bytes and decoded again by the program's own dispatch."""
+    """Token instructions written as bytes and decoded again by the program's own dispatch, compiled to Columns."""
     i = adapters.instructions(spark, sf_dir).where("not failed")
     data = F.concat(F.lit(b"\x0c"), _le(F.col("amount"), 8), _le(F.col("program"), 1))
-    keys = F.array(*[F.sha2(F.concat(F.lit(x), F.col(c).cast("string")).cast("binary"), 256) for x, c in (("p", "part"), ("s", "supplier"), ("p", "part"), ("c", "fee_payer"))])
-    d = i.withColumn("o", PROGRAMS["token"].instruction_outcome(data, keys))
-    amount = F.get_json_object("o.payload", "$.args.amount").cast("bigint")
-    decimals = F.get_json_object("o.payload", "$.args.decimals").cast("bigint")
-    return d.select("signature", F.col("outer").alias("outer_ix"), F.col("o.kind").alias("kind"), amount.alias("amount"), decimals.alias("decimals"), F.col("o.outcome").alias("outcome"))
+    keys = F.array(*[F.unhex(F.sha2(F.concat(F.lit(x), F.col(c).cast("string")).cast("binary"), 256)) for x, c in (("p", "part"), ("s", "supplier"), ("p", "part"), ("c", "fee_payer"))])
+    token, d = PROGRAMS["token"], i.select("signature", F.col("outer").alias("outer_ix"), data.alias("data"), keys.alias("keys"))
+    kind = token.instruction_choice(F.col("data"), F.size("keys"))["kind"]
+    d = d.select("signature", "outer_ix", kind.alias("kind"), token.instruction_fields("TransferChecked", F.col("data"), F.col("keys")).alias("v"))
+    outcome = F.when(F.col("v").isNotNull(), "parsed").otherwise("error")
+    return d.select("signature", "outer_ix", "kind", F.col("v.args.amount").cast("bigint").alias("amount"), F.col("v.args.decimals").cast("bigint").alias("decimals"), outcome.alias("outcome"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'error' WHEN event_id % 3 = 1 THEN 'parsed' ELSE 'error' END AS outcome, CASE WHEN event_id % 3 = 1 THEN 'Burn' WHEN event_id % 3 = 2 THEN 'Transfer' END AS kind FROM events")

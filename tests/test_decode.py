@@ -198,6 +198,22 @@ def test_extensions():
     assert TOKEN_EXTENSIONS.instruction(b"\x22\0", list("ab"))[1] == "CpiGuard.Enable"
 
 
+def test_extension_arguments():
+    import hashlib
+
+    keys = list("abcde")
+    args = lambda data: TOKEN_EXTENSIONS.instruction(data, keys)[2]["args"]
+    tag = lambda name: hashlib.sha256(name.encode()).digest()[:8]
+    text = lambda x: len(x).to_bytes(4, "little") + x
+    assert args(b"\x21\0" + bytes(32) + b"\xfe\xff") == {"rate_authority": None, "rate": -2} and args(b"\x1c\1\2") == {"state": "Frozen"}
+    assert args(b"\x24\1" + b"\1" * 32) == {"program_id": enc.b58encode(b"\1" * 32)} and args(b"\x22\0") == {}
+    assert args(tag("spl_token_metadata_interface:updating_field") + b"\3" + text(b"k") + text(b"v")) == {"field": {"kind": "Key", "Key": "k"}, "value": "v"}
+    assert args(tag("spl_token_metadata_interface:emitter") + b"\1" + (5).to_bytes(8, "little") + b"\0") == {"start": 5, "end": None}
+    assert args(b"\x1b\x05" + (9).to_bytes(8, "little") + b"\6") == {"amount": 9, "decimals": 6}
+    assert args(b"\x25\1\xff" + b"\2" * 36) == {"proof_instruction_offset": -1, "new_decryptable_available_balance": "02" * 36}
+    assert TOKEN_EXTENSIONS.instruction(b"\x1b\x05\1", keys)[0] == "error"
+
+
 def test_other_programs():
     assert LOADER.account(bytes(8))[0] == "filtered" and LOADER.account(b"\2\0\0\0" + bytes(32))[1] == "Program"
     assert LOADER.instruction(b"\4\0\0\0", ["a", "b"])[2]["accounts"] == {"account": "a", "current_authority": "b", "new_authority": None, "remaining_accounts": []}
