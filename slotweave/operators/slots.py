@@ -146,7 +146,7 @@ def ancestry(links: DataFrame, root: Column, key: str = "slot", parent: str = "p
         # an ancestor that isn't there breaks the chain: up becomes null
         moved = F.when(F.col("done"), F.col("up")).otherwise(F.col("_up"))
         depth = F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.coalesce("_d", F.lit(0)))
-        jump = stored(step.select("_k", moved.alias("up"), depth.alias("depth"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "ancestry")
+        jump = stored(step.select("_k", moved.alias("up"), depth.alias("depth"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "ancestry", replaces=jump)
     return links.join(jump.select(F.col("_k").alias(key), F.col("done").alias("linked"), F.when(F.col("done"), F.col("depth")).alias("depth")), key)
 
 
@@ -175,7 +175,7 @@ def inferred_commits(banks: DataFrame) -> DataFrame:
         sent = state.where("marked and up is not null").select(F.col("up").alias("k"), F.lit(True).alias("got")).distinct()
         above = state.select(F.col("k").alias("up"), F.col("up").alias("next"))
         step = state.join(sent, "k", "left").join(above, "up", "left")
-        state = stored(step.select("k", F.col("next").alias("up"), (F.col("marked") | F.coalesce("got", F.lit(False))).alias("marked")), "marks")
+        state = stored(step.select("k", F.col("next").alias("up"), (F.col("marked") | F.coalesce("got", F.lit(False))).alias("marked")), "marks", replaces=state)
     whole = links.join(state.where("marked").select(F.col("k").alias("_key")), "_key")
     child = whole.select(F.col("parent_slot").alias("slot"), F.col("parent_blockhash").alias("named")).distinct()
     wrong = F.raise_error(F.concat(F.lit("committed banks disagree on slot "), F.col("slot").cast("string"))).cast("boolean")
