@@ -19,8 +19,9 @@ of at most ``FEW`` members compare what remains pair by pair (so a member has fe
 ``FEW`` partners there), larger ones block by block with matrix products, leaving out the
 pairs within the largest class. Every two members of a bucket that could still join two
 classes are compared, so no link is lost; links within a class are not looked for. A
-comparison is the exact overlap of the two multisets; a link needs a similarity of at
-least ``SIMILARITY``. Classes are the links' connected components.
+comparison is the exact overlap of the two multisets of shingles, which are told apart by
+64-bit hashes (for two texts of a million words the chance of a wrong count is below one in
+a million); a link needs a similarity of at least ``SIMILARITY``. Classes are the links' connected components.
 
 Edge cases: texts without words (null, empty, blank) are never linked; null ids sort
 behind all others, and a class's id is null only if all its ids are; rows with equal ids
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, small, stored, table
+from .common import chunks, drop, small, stored, table
 from .pieces import codes, mixed, release, span_hashes
 
 SHINGLE = 5
@@ -226,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "row"), "labels")
-    n = labels.count()
+    n, table_ = labels.count(), labels
     while True:
         of = lambda name, label: small(labels.select(F.col("row").alias(name), F.col("label").alias(label)), n, PAIR_ROWS)
         near = both.join(of("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("lb")).withColumnRenamed("a", "row")
@@ -234,8 +235,10 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(of("l", "jumped"), "l")
         new = stored(step.select("row", F.least("l", "jumped").alias("label"), "old"), "labels")
         moved = new.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new.select("row", "label")
+        drop(table_)
+        table_, labels = new, new.select("row", "label")
         if not moved:
+            drop(both)
             return labels
 
 

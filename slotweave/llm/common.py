@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from slotweave.storage import shared_dir, stored  # noqa: F401
+from slotweave.storage import drop, scope, shared_dir, stored  # noqa: F401
 
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

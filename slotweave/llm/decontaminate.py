@@ -14,8 +14,10 @@ The benchmark is the query set: it is read in blocks of ``BLOCK_CHARS`` characte
 bounds the automaton in every task, and each block is held against all documents, whole
 texts. Documents are never shuffled.
 
-Edge cases: null or empty texts and items match nothing; items of fewer than ``MIN_ITEM``
-characters are not looked for, as any text may hold them by chance; a document with
+Items of fewer than ``MIN_ITEM`` characters are found as whole words without edits, and only
+reported: any text may hold them by chance, so ``clean`` removes no document for them.
+
+Edge cases: null or empty texts and items match nothing; a document with
 several items gives a row for each, with the least distance and the first place that has
 it; repeated rows each give theirs; empty tables give an empty result or leave all
 documents; other columns are ignored by ``matches`` and returned untouched by ``clean``.
@@ -23,10 +25,10 @@ documents; other columns are ignored by ``matches`` and returned untouched by ``
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,7 +38,8 @@ from .common import table
 ERROR_RATE = 0.08
 MIN_ITEM = 20
 BLOCK_CHARS = 1_000_000
-_OTHER = re.compile(r"[\W_]+")
+#: Combining marks are parts of words.
+_OTHER = regex.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
@@ -98,8 +101,10 @@ class Matcher:
             n = len(self.ids)
             self.ids.append(item_id)
             self.patterns.append(Pattern(text))
-            self.k.append(budget(len(text), rate))
-            for at, piece in cut(text, self.k[-1] + 1):
+            self.k.append(budget(len(text), rate) if len(text) >= MIN_ITEM else 0)
+            # a short item is looked for as whole words, without edits
+            whole = [(-1, f" {text} ")] if len(text) < MIN_ITEM else cut(text, self.k[-1] + 1)
+            for at, piece in whole:
                 found.setdefault(piece, []).append((n, at + len(piece)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
@@ -113,14 +118,20 @@ class Matcher:
         if not text or not self.ids:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, where in self.automaton.iter(text):
+        short: dict[int, int] = {}
+        # with a blank at both ends, so that words at the text's ends have borders, too
+        for end, where in self.automaton.iter(f" {text} "):
+            end -= 1
             for n, inside in where:
+                if self.patterns[n].m < MIN_ITEM:
+                    short.setdefault(n, end - self.patterns[n].m)
+                    continue
                 k, m = self.k[n], self.patterns[n].m
                 start = end + 1 - inside
                 a, b = max(0, start - k), min(len(text), start + m + k)
                 if b - a >= m - k:
                     windows.setdefault(n, []).append((a, b))
-        out = []
+        out = [(self.ids[n], 0, at, at + self.patterns[n].m) for n, at in short.items()]
         for n, spans in windows.items():
             best = self._verify(n, spans, text)
             if best is not None:
@@ -153,12 +164,12 @@ class Matcher:
         return d, end - back, end
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """The items in normal form, in blocks of at most ``most`` characters (a longer item alone)."""
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS, least: int = 1) -> Iterator[list[tuple[object, str]]]:
+    """The items of at least ``least`` characters in normal form, in blocks of at most ``most`` (a longer item alone)."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         text = normal(r["text"])
-        if len(text) < MIN_ITEM:
+        if len(text) < least:
             continue
         if block and size + len(text) > most:
             yield block
@@ -199,7 +210,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without the documents that hold an item within its budget."""
+    """``docs`` without the documents that hold an item of at least ``MIN_ITEM`` characters within its budget.
+
+    Shorter items are words that any text may hold by chance; ``matches`` tells where they are.
+    """
 
     def filter_by(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +223,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Da
 
         return run
 
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, least=MIN_ITEM):
         docs = docs.mapInArrow(filter_by(block), docs.schema)
     return docs
 

@@ -13,9 +13,11 @@ is calibrated: documents of the sample that the models were not fitted to give e
 language's usual cross-entropy, and a text far above it (``REJECT`` standard deviations) is
 marked ``rejected`` and its score lowered. The score is the posterior over languages.
 
-Fit: a sample of at most about ``DOCS_PER_LANG`` labelled documents per language, each of
-at most ``MAX_SAMPLE_CHARS`` characters, chosen by a hash of the id; one in ``ASIDE`` of
-them calibrates. Predictions read whole texts of all documents.
+Fit: a sample of at most ``DOCS_PER_LANG`` labelled documents per language, those with the
+least hashes of their ids; of a longer one a passage of ``MAX_SAMPLE_CHARS`` characters at
+a place that a second hash chooses, so that a language with long documents alone is learned,
+too. One in ``ASIDE`` of them, by the second hash, calibrates. Predictions read whole texts
+of all documents.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as is every
 text if there is nothing to learn from; rows without a language don't teach; repeated rows
@@ -34,6 +36,7 @@ from .pieces import LETTER, classes, codes, mixed
 ORDER = 4
 DOCS_PER_LANG, MAX_SAMPLE_CHARS, ASIDE = 600, 20_000, 5
 REJECT = 4.0
+BITS60 = 1 << 60
 #: A text speaks for its language with at most so many independent characters.
 WEIGHT_CHARS = 64
 BLOCK = 1 << 17
@@ -195,19 +198,26 @@ class Models:
 
 def fit(labelled: DataFrame, per_lang: int = DOCS_PER_LANG) -> Models | None:
     """Models from a bounded sample of ``labelled`` (doc_id, text, lang); None without usable rows."""
-    fits = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.char_length("text") <= MAX_SAMPLE_CHARS)
-    usable = labelled.where(fits)
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # two hashes of 60 bits: one chooses documents, the other, independent of it, those set aside and the passage
+    h, other = (F.conv(F.substring(F.md5(F.concat(F.lit(salt), id_).cast("binary")), 1, 15), 16, 10).cast("long") for salt in ("choose:", "aside:"))
+    room = F.greatest(F.char_length("text") - MAX_SAMPLE_CHARS, F.lit(0)) + 1
+    passage = F.substring(F.col("text"), (F.shiftright(other, 8) % room + 1).cast("int"), F.lit(MAX_SAMPLE_CHARS))
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", h.alias("h"), other.alias("other"), passage.alias("text"))
     # one row per language
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, int((1 << 20) * per_lang / n) + 1))])
+    # a little more than is wanted, so that enough remain; then exactly the least hashes
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(BITS60, int(BITS60 * min(1.0, (1.2 * per_lang + 50) / n))))])
+    chosen: dict[str, list[tuple]] = {}
+    for r in usable.where(F.col("h") <= F.element_at(share, F.col("lang"))).toLocalIterator():
+        chosen.setdefault(r["lang"], []).append((r["h"], r["text"], r["other"] % ASIDE == 0))
     fitted: dict[str, list[str]] = {}
     aside: dict[str, list[str]] = {}
-    sample = usable.where(h < F.element_at(share, F.col("lang"))).select("lang", "text", (h % ASIDE == 0).alias("aside"))
-    for r in sample.toLocalIterator():
-        (aside if r["aside"] else fitted).setdefault(r["lang"], []).append(r["text"])
+    for lang, rows in chosen.items():
+        for _, text, apart in sorted(rows)[:per_lang]:
+            (aside if apart else fitted).setdefault(lang, []).append(text)
     for lang, texts in aside.items():
         fitted.setdefault(lang, texts)
     models = Models({k: sorted(v) for k, v in fitted.items()})

@@ -169,7 +169,7 @@ def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
         d = _distance(rows.join(small(est, 2 * n_groups), "g")).select("g", "start", "d2", *X)
         cut = d.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, ACCURACY).alias("cut"))
         inner = d.join(small(cut, 2 * n_groups), ["g", "start"]).where(F.col("d2") <= F.col("cut"))
-        est = stored(_factors(inner.groupBy("g", "start").agg(*_moments(consistency(SUBSET)))), "mcd")
+        est = stored(_factors(inner.groupBy("g", "start").agg(*_moments(consistency(SUBSET)))), "mcd", replaces=est)
     best = est.groupBy("g").agg(F.min_by(F.struct(*est.columns), F.struct("logdet", "start")).alias("e")).select("e.*")
     d = _distance(rows.join(small(best, n_groups), "g")).where(F.col("d2") <= _chi4_point(0.975))
     last = d.groupBy("g").agg(*_moments(consistency(0.975))).withColumn("start", F.lit(2))

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_counts": tokencount.op10_token_counts,
 }
 ORACLE_SQL = {
+    "op5_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }

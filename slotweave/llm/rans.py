@@ -13,7 +13,7 @@ then zlib-packed document index (ids and lengths), block heads, states, words. R
 Parquet table in the shared folder carry the bytes, so writing and rereading need nothing
 but Spark's own file systems and commit protocol; ``export`` puts them into plain files.
 
-Edge cases: a null or empty text has only its end id; null doc_ids come first; rows with
+Edge cases: ids are integers (others fail the cast); a null or empty text has only its end id; null doc_ids come first; rows with
 equal doc_ids stand side by side, ordered by their ids' bytes; an empty table gives no
 shards and an empty result; other columns are ignored.
 """
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, table
+from .common import chunks, small, stored, table
 from .pieces import encode_texts
 
 END = 0
@@ -172,6 +172,25 @@ def decode_shard(data: bytes, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndar
     return doc_ids, nulls, lengths, ids, first
 
 
+def decode_stretch(data: bytes, t: Table, number: int) -> np.ndarray:
+    """Ids of one stretch between checkpoints, from its checkpoint alone: nothing before it is decoded.
+
+    ``number`` counts the shard's checkpoints; a stretch has ``LANES * TURNS`` ids, the last
+    one of the shard what remains. Damage shows when the block is checked (``decode_shard``).
+    """
+    magic, version, crc, _, n, _, *sizes, _ = _HEAD.unpack_from(data)
+    if magic != MAGIC or version != VERSION or crc != t.crc:
+        raise ValueError("the shard belongs to another table")
+    cut = np.cumsum([_HEAD.size, *sizes])
+    places, states, words = (np.frombuffer(data[cut[i] : cut[i + 1]], k) for i, k in ((2, "<u4"), (3, "<u8"), (4, "<u4")))
+    size = LANES * TURNS
+    turns = min(TURNS, -(-(n - number * size) // LANES))
+    if not 0 <= number < len(places):
+        raise IndexError(number)
+    got = _decode_grid(states.reshape(-1, LANES)[number : number + 1], turns, places[number : number + 1], words, t)
+    return got.ravel()[: n - number * size]
+
+
 def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids: little-endian 16-bit ids of the whole text and the end id."""
 
@@ -271,8 +290,9 @@ def decode(shards: DataFrame, packed: bytes, with_ids: bool = False) -> DataFram
 
     schema = "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = shards.select("part", "payload").mapInPandas(run, schema)
-    # one row per shuffle partition: far below any limit
-    out = rows.join(F.broadcast(bases(shards)), "part")
+    # one row per shuffle partition
+    starts = stored(bases(shards), "bases")
+    out = rows.join(small(starts, starts.count()), "part")
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -17,7 +17,8 @@ Archives are rows (part, seq, records, payload) of a Parquet table in the shared
 Spark's own readers, writers and commit protocol carry them, so a lost executor's archives
 are written again. ``export`` puts them into plain ``.warc.zst`` files.
 
-Edge cases: null or empty html has an empty payload and is a response; null ids come
+Edge cases: page ids are integers (others fail the cast); null or empty html has an empty
+payload and is a response; null ids come
 first in order and are never named by a revisit while another id has the payload; rows
 that share id and payload are the same record, and each is written as the response; an
 empty table gives no archives and an empty result; other columns are ignored.
@@ -38,7 +39,7 @@ from .common import small, stored, table
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 24_000_000
-DICT_BYTES, SAMPLE_BYTES, MIN_SAMPLES = 32_768, 1_500_000, 16
+DICT_BYTES, SAMPLE_BYTES = 32_768, 1_500_000
 LEVEL = 3
 SKIPPABLE, TRAILER = 0x184D2A5D, 0x184D2A5E
 _END = struct.Struct("<IIQ")
@@ -86,27 +87,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary from evenly spread records; empty where there are too few to train on."""
+    """A dictionary from the records: of all their parts of DICT_BYTES, evenly spread ones.
+
+    Where there is too little for the trainer, those parts themselves are the dictionary.
+    """
     import zstandard
 
-    if len(records) < MIN_SAMPLES:
-        return b""
     total = sum(map(len, records))
     step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[:DICT_BYTES] for r in records[::step]]
+    parts = [(k, i) for k, r in enumerate(records) for i in range(0, len(r), DICT_BYTES)]
+    samples = [records[k][i : i + DICT_BYTES] for k, i in parts[::step]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICT_BYTES]
 
 
 def pack(records: list[bytes]) -> bytes:
     import zstandard
 
     d = train(records)
-    kind = zstandard.ZstdCompressionDict(d) if d else None
-    if kind:
-        kind.precompute_compress(level=LEVEL)
+    kind = zstandard.ZstdCompressionDict(d)
+    kind.precompute_compress(level=LEVEL)
     c = zstandard.ZstdCompressor(level=LEVEL, dict_data=kind, write_checksum=True)
     return struct.pack("<II", SKIPPABLE, len(d)) + d + b"".join(map(c.compress, records)) + _END.pack(TRAILER, 8, len(records))
 
@@ -240,5 +242,16 @@ def export(archives: DataFrame, folder: str) -> None:
     archives.select("part", "seq", "payload").foreachPartition(put)
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS size, sha1(body) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS keeper FROM d WHERE size >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT d.page_id, CAST(d.size AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN k.digest IS NOT NULL AND d.page_id IS DISTINCT FROM k.keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.digest IS NOT NULL AND d.page_id IS DISTINCT FROM k.keeper THEN k.keeper END AS refers_to
+FROM d LEFT JOIN k ON d.digest = k.digest
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(write(table(spark, sf_dir, "pages")), False).drop("url")

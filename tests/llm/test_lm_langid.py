@@ -274,6 +274,25 @@ def test_held_out_accuracy(spark, corpus, corpus_rows):
     assert odd.rejected and odd.score < 0.5
 
 
+def test_long_documents_teach(spark):
+    """A language with long documents alone is learned; the sample is bounded per language."""
+    rng = np.random.default_rng(1)
+    text = lambda sounds, n: " ".join("".join(rng.choice(sounds, 3)) for _ in range(n))
+    rows = [(i, text(["ka", "lo", "mi"], 30), "en") for i in range(40)] + [(100 + i, text(["sch", "ung", "ein"], 9000), "zz") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    assert models.langs == ["en", "zz"]
+    assert models.predict([text(["sch", "ung", "ein"], 20), text(["ka", "lo", "mi"], 20)])[0] == ["zz", "en"]
+    seen = []
+    real = langid.Models
+    try:
+        langid.Models = lambda texts: (seen.append(texts), real(texts))[1]
+        langid.fit(docs, per_lang=10)
+    finally:
+        langid.Models = real
+    assert all(len(v) <= 10 for v in seen[0].values()) and max(len(t) for t in seen[0]["zz"]) == langid.MAX_SAMPLE_CHARS
+
+
 def documents_of(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 

@@ -280,3 +280,26 @@ def test_decontamination_operators(spark, edge, nothing):
 def test_benchmark_blocks(spark):
     bench = spark.createDataFrame([(i, "word " * 10 + str(i)) for i in range(10)], "item_id long, text string")
     assert [len(b) for b in decontaminate.blocks(bench, most=120)] == [2] * 5
+
+
+def test_short_items_are_whole_words(spark):
+    m = decontaminate.Matcher([("s", decontaminate.normal("2 + 2 = 4")), ("w", "cat"), ("l", decontaminate.normal(LONG))])
+    assert sorted(m.search("what is 2+2=4?")) == [("s", 0, 8, 13)] and m.search("concatenate 12 2 45") == []
+    assert sorted(m.search("Cat")) == [("w", 0, 0, 3)] and m.search("a cat, a CAT")[0][:3] == ("w", 0, 2)
+    assert {h[0] for h in m.search(f"cat {LONG.replace('deal', 'dael')} cat")} == {"w", "l"}
+    docs = spark.createDataFrame([(1, "a cat sat"), (2, LONG), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([("w", "cat"), ("l", LONG), ("e", "!?"), ("n", None)], "item_id string, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()) == [(1, "w", 0), (2, "l", 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3]
+
+
+def test_marks_are_parts_of_words():
+    assert decontaminate.normal("कि की") == "कि की" and decontaminate.normal("A_b--C") == "a b c"
+
+
+@pytest.mark.parametrize("records", [[b"x" * 50], [b"", b"ab"], [b"one record" * 9000] * 3, [bytes([i]) * 40 for i in range(40)]])
+def test_every_archive_has_a_dictionary(records):
+    whole = [warc.record(i, "u", r, len(r), hashlib.sha1(r).hexdigest(), None, False) for i, r in enumerate(records)]
+    archive = warc.pack(whole)
+    assert 0 < struct.unpack_from("<II", archive)[1] <= warc.DICT_BYTES
+    assert [b.partition(b"\r\n\r\n")[2] for _, b in warc.unpack(archive)] == records

@@ -121,6 +121,19 @@ def test_shard_round_trip(n):
                 rans.decode_shard(bytes(bad), t)
 
 
+def test_one_checkpoint_is_enough():
+    rng = np.random.default_rng(3)
+    for n in (70_000, 16_384, 100, 131_072):
+        ids = (rng.zipf(1.3, n) % 50_257).astype(np.uint16)
+        t = rans.Table.of_counts(np.bincount(ids, minlength=rans.SYMBOLS))
+        data = rans.encode_shard(np.array([7]), np.array([False]), np.array([n]), ids, 0, t)
+        size = rans.LANES * rans.TURNS
+        for k in range(-(-n // size)):
+            assert (rans.decode_stretch(data, t, k) == ids[k * size : (k + 1) * size]).all()
+        with pytest.raises(IndexError):
+            rans.decode_stretch(data, t, -(-n // size))
+
+
 def brute(rows, library):
     coded = [(r[0], [*library.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in rows]
     coded.sort(key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes()))
