@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slotweave.llm import bagminhash, decontaminate, mixing, quality, rans
-from slotweave.llm.common import stored, table
+from slotweave.llm.common import drop, scope, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scope(spark) as kept:  # what the stage stored on its way goes when its result is written
+            docs = stored(stage(spark, before, sf_dir), name)
+            kept.append(docs)
+        drop(before)
     return docs
