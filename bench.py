@@ -9,6 +9,7 @@ import importlib
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -19,7 +20,7 @@ HEADLINES = [
     "slot_commit_summary", "account_commit_summary", "prefilter_combined", "prefilter_merge_union", "prefilter_token_accounts", "shared_scan_routing",
     "account_memcmp", "owner_routing", "flatten_instructions", "path_from_stack_heights", "split_outer_logs", "fallback_routing", "record_keys_headers",
     "duplicate_last_wins", "gated_flush", "fork_discard", "late_event_counts", "resume_dedup", "passthrough_watermark", "token_transfer_decode",
-    "op1_quality", "op3_langid", "op4_rans", "op5_warc", "op6_mixing", "op7_decontaminate", "op8_extract", "op9_bagminhash", "op10_token_counts",
+    "token_instructions", "op1_quality", "op2_attention", "op3_langid", "op4_rans", "op5_warc", "op6_mixing", "op7_decontaminate", "op8_extract", "op9_bagminhash", "op10_token_counts", "pipeline",
 ]
 
 
@@ -27,6 +28,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.TemporaryDirectory(prefix="bench-")  # one machine: its folder is shared
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
@@ -35,6 +37,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{shared.name}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,7 +1,7 @@
 """From nested transactions to instruction rows: account resolution, call paths, log slices.
 
-Everything is built-in expressions: a transaction is exploded once, its call tree comes
-from a fold over the stack heights, and its log slices from a fold over the log lines.
+A transaction is exploded once and its call tree comes from a fold over the stack heights,
+all in built-in expressions. Log slices alone are found in Python, on Arrow batches.
 Tree paths are arrays, whose order (lexicographic, a prefix first) is the order of calls.
 """
 

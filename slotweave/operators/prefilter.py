@@ -296,6 +296,10 @@ class BlockFooterPart:
     def merge(self, other: BlockFooterPart) -> BlockFooterPart:
         return BlockFooterPart(self.include_certificates or other.include_certificates)
 
+    def project(self, footers: DataFrame) -> DataFrame:
+        """Certificates stay unread where nobody asks for them."""
+        return footers if self.include_certificates else footers.drop("certificates")
+
 
 @dataclass(frozen=True)
 class BlockPart:

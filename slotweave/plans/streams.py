@@ -134,33 +134,27 @@ def resume_dedup(spark, sf_dir):
 
 
 @on_banks("""
-, s AS (SELECT slot, CASE WHEN bool_or(kind = 'purchase') AND slot % 100 <> 50 THEN 'complete' ELSE 'open' END AS state FROM ev WHERE slot < 700 GROUP BY slot)
+, s AS (SELECT slot, CASE WHEN bool_or(kind = 'purchase') AND slot % 100 <> 50 THEN 'complete' ELSE 'open' END AS state FROM ev GROUP BY slot)
 SELECT least(min(CASE WHEN state = 'open' THEN slot END), max(CASE WHEN state = 'complete' THEN slot END)) AS checkpoint FROM s
 """)
 def resume_checkpoint(spark, sf_dir):
     """Where a resumed read may start: before the oldest open slot."""
-    e = adapters.slot_events(spark, sf_dir).where("slot < 700").groupBy("slot").agg(F.max((F.col("kind") == "purchase").cast("int")).alias("done"))
+    e = adapters.slot_events(spark, sf_dir).groupBy("slot").agg(F.max((F.col("kind") == "purchase").cast("int")).alias("done"))
     state = F.when((F.col("done") == 1) & (F.col("slot") % 100 != 50), "complete").otherwise("open")
     return resume.checkpoint(e.select("slot", state.alias("state")))
 
 
 @on_banks("""
-, m AS (SELECT slot, event_id, max(slot) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM ev WHERE event_id % 3 = 0)
+, m AS (SELECT slot, event_id, max(slot) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM ev)
 SELECT high AS slot, FALSE AS final FROM m WHERE slot > high
 UNION ALL SELECT max(slot), TRUE FROM m
 """)
 def passthrough_watermark(spark, sf_dir):
     """A marker whenever the slot rises, and one at the end."""
-    e = adapters.slot_events(spark, sf_dir).where("event_id % 3 = 0").select("slot", F.col("event_id").alias("ingest"))
+    e = adapters.slot_events(spark, sf_dir).select("slot", F.col("event_id").alias("ingest"))
     return resume.passthrough_markers(e)
 
 
-@on_banks("SELECT slot, event_id, row_number() OVER (PARTITION BY slot ORDER BY event_id) - 1 AS frame FROM ev WHERE kind <> 'error' QUALIFY frame < 256")
-def preconf_index(spark, sf_dir):
-    e = adapters.slot_events(spark, sf_dir).where("kind <> 'error'").select("slot", "event_id", F.col("event_id").alias("ingest"))
-    return resume.frame_index(e).select("slot", "event_id", F.col("frame").cast("bigint").alias("frame"))
-
-
 @on_banks("""
 , m AS (SELECT slot, kind, lag(kind) OVER (PARTITION BY slot ORDER BY event_id) AS b FROM ev WHERE kind IN ('signup', 'purchase'))
 SELECT slot, count(CASE WHEN kind = 'signup' AND b = 'purchase' THEN 1 END) AS restarts FROM m GROUP BY slot
@@ -172,13 +166,6 @@ def restart_count(spark, sf_dir):
     return resume.restarts(e.select("slot", mark.alias("mark"), F.col("event_id").alias("ingest")))
 
 
-@on_banks("SELECT kind AS reason, count(*) AS n, min(slot) AS first_slot, max(slot) AS last_slot FROM ev GROUP BY kind")
-def drop_counters(spark, sf_dir):
-    """Counters of a feed by reason."""
-    e = adapters.slot_events(spark, sf_dir)
-    return e.groupBy(F.col("kind").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
-
-
 @on_banks("""
 , m AS (SELECT slot % 8 AS partition, slot FROM ev WHERE kind = 'purchase')
 SELECT max(slot) AS slot FROM m
@@ -195,7 +182,7 @@ SELECT slot, slot % 4 AS bank FROM bk WHERE slot + 1 IN (SELECT slot FROM bk WHE
 """)
 def inferred_commits(spark, sf_dir):
     """A confirmed child commits the one bank that it names by blockhash."""
-    b = adapters.banks(spark, sf_dir).select("slot", (F.col("slot") % 4).alias("bank_id"), "confirmed")
+    b = adapters.banks(spark, sf_dir).select("slot", (F.col("slot") % 4).alias("bank_id"), (F.col("confirmed") & (F.col("slot") % 2 == 1)).alias("confirmed"))
     hash_ = lambda s: F.concat(F.lit("h"), s)
     # odd slots have two candidates with the hash that the child names
     twin = b.where("slot % 2 = 1").withColumn("bank_id", F.col("bank_id") + 4).withColumn("confirmed", F.lit(False))
@@ -255,8 +242,6 @@ SELECT * FROM e
 """)
 def snapshot_scan(spark, sf_dir):
     """A snapshot as updates: one finalised status, then the accounts of the owners asked for."""
-    owners = spark.createDataFrame([(3, "p"), (4, "p"), (5, "q")], "owner bigint, parser string").groupBy("owner").agg(F.collect_set("parser").alias("parsers"))
-    a = adapters.accounts(spark, sf_dir).join(F.broadcast(owners), "owner")  # three rows
-    a = a.select(F.lit("account").alias("update"), F.col("pubkey").cast("string").alias("key"), F.col("owner").cast("int").alias("owner"))
-    status = spark.range(1).select(F.lit("slot").alias("update"), F.lit("finalized").alias("key"), F.lit(None).cast("int").alias("owner"))
-    return a.unionByName(status)
+    owners = spark.createDataFrame([(3, "p"), (4, "p"), (5, "q"), (5, "p")], "owner bigint, parser string")
+    u = replay.snapshot(adapters.accounts(spark, sf_dir), owners)
+    return u.select("update", F.coalesce(F.col("pubkey").cast("string"), "status").alias("key"), F.col("owner").cast("int").alias("owner"))

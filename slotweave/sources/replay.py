@@ -18,13 +18,16 @@ def epoch_range(epoch: int) -> tuple[int, int]:
     return epoch * EPOCH_SLOTS, (epoch + 1) * EPOCH_SLOTS
 
 
-def read_range(spark: SparkSession, path: str, first: int, end: int) -> DataFrame:
-    """Updates of slots in [first, end): a filter that reaches the scan, and prunes partitions by ``epoch`` if there are any."""
+def read_range(spark: SparkSession, path: str, first: int, end: int, reverse: bool = False) -> DataFrame:
+    """Updates of slots in [first, end): a filter that reaches the scan, and prunes partitions by ``epoch`` if there are any.
+
+    ``reverse``: ordered from the last slot to the first; else files are read side by side, in no order.
+    """
     df = spark.read.parquet(path)
     out = df.where((F.col("slot") >= first) & (F.col("slot") < end))
     if "epoch" in df.columns:
         out = out.where((F.col("epoch") >= first // EPOCH_SLOTS) & (F.col("epoch") <= (end - 1) // EPOCH_SLOTS))
-    return out
+    return out.orderBy(F.col("slot").desc()) if reverse else out
 
 
 def capture(updates: DataFrame, path: str) -> None:
@@ -38,6 +41,19 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def snapshot(accounts: DataFrame, owners: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A snapshot as updates: one finalised slot status, then the accounts whose owner anyone asks for.
+
+    ``owners``: owner, parser, one row for each parser that wants the owner; up to ``rows``
+    of them are broadcast. Adds update, status and ``parsers``, who gets the row.
+    """
+    wanted = owners.groupBy("owner").agg(F.sort_array(F.collect_set("parser")).alias("parsers"))
+    few = owners.limit(rows + 1).count() <= rows
+    a = accounts.join(F.broadcast(wanted) if few else wanted, "owner").withColumns({"update": F.lit("account"), "status": F.lit(None).cast("string")})
+    status = accounts.sparkSession.range(1).select(F.lit("slot").alias("update"), F.lit("finalized").alias("status"))
+    return status.unionByName(a, allowMissingColumns=True)
+
+
 def possible_leader_skips(blocks: DataFrame) -> DataFrame:
     """Slots between a block and its parent, for which no block came."""
     gap = F.when(F.col("slot") - F.col("parent_slot") > 1, F.sequence(F.col("parent_slot") + 1, F.col("slot") - 1))

@@ -3,7 +3,8 @@
 ``spark.read.format("account_scan")`` with options ``fetch`` (an importable ``module:name``
 of a function from an owner to an iterable of account tuples), ``owners`` (comma-separated
 base58) and ``parsers`` (their names, in the same order). One partition per (parser, owner).
-Transient errors are retried with growing pauses; any other error fails the read.
+``fetch`` gives an owner's accounts in the same order each time. Transient errors are retried
+with growing pauses; any other error fails the read.
 """
 
 from __future__ import annotations
@@ -54,8 +55,20 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for pubkey, lamports, data in retried(lambda: list(fetch(partition.owner))):
-            yield (partition.parser, pubkey, partition.owner, lamports, data, True, 0)
+        # rows pass through as they come; after a broken connection those already given are skipped
+        given, waits = 0, pauses()
+        while True:
+            try:
+                for n, (pubkey, lamports, data) in enumerate(fetch(partition.owner)):
+                    if n >= given:
+                        yield (partition.parser, pubkey, partition.owner, lamports, data, True, 0)
+                        given += 1
+                return
+            except Transient:
+                wait = next(waits, None)
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class AccountScan(DataSource):

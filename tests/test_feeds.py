@@ -8,9 +8,9 @@ from slotweave import config
 from slotweave.decode import idl, ir, proto
 from slotweave.decode.builtin import PROGRAMS, TOKEN
 from slotweave.operators.prefilter import Filters, Prefilter, PrefilterError, TransactionPart
-from slotweave.sources import feed, wire
+from slotweave.sources import feed
+from slotweave.streaming import feeds
 from tests.test_decode import ANCHOR
-from tests.test_dispatch import _message
 
 S = frozenset
 
@@ -50,31 +50,54 @@ def test_recoverable_and_pauses():
     assert [r.pause(1) for _ in range(8)] == [0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4, 10.0] and r.pause(61) == 0.1
 
 
-def test_framing():
-    f = feed.Framer(vote_rules={"novote": False, "vote": True})
-    tx = _message()
-    vote = _message(program=wire.VOTE_PROGRAM)
-    assert f.transaction(5, "success", tx, ["a"])["index"] == 0 and f.counts["out_of_frame"] == 1
-    f.start(5)
-    assert f.transaction(5, "success", tx, ["a", "vote"])["filters"] == ["a"]
-    assert f.transaction(5, "success", vote, ["novote"]) is None and f.counts["vote_rule_dropped"] == 1
-    assert f.transaction(5, None, tx, ["a"]) is None and f.transaction(5, "success", b"zz", ["a"]) is None
-    f.end(5)
-    f.start(5)
-    last = f.transaction(5, "fees_only", tx, ["a"])
-    assert last["index"] == 2 and last["failed"] and f.counts["restarts"] == 1
-    f.reconnected()
-    f.start(5)
-    f.clip(7)
-    f.unknown()
-    assert f.counts == {"out_of_frame": 1, "delivered": 3, "vote_rule_dropped": 1, "unknown_result": 1, "undecodable": 1, "restarts": 2, "reconnects": 1, "clipped": 7, "unknown_payload": 1}
-    f.end(200)
-    assert list(f.frames) == [200]
-    u = feed.Framer(bounded=False)
-    assert u.transaction(1, "success", tx, ["a"])["index"] == 0 and "out_of_frame" not in u.counts
-    for s in range(2, 400):
-        u.start(s)
-    assert len(u.frames) == feed.MAX_FRAMES
+FRAMES = "ingest bigint, kind string, slot bigint, result string, decoded boolean, is_vote boolean, filters array<string>, withheld bigint"
+
+
+def frames(spark, rows):
+    """(kind, slot) marks, or ("transaction", slot, result, decoded, is_vote, filters)."""
+    wide = [(i, r[0], r[1], *(r[2:6] if r[0] == "transaction" else (None, None, None, None)), r[2] if r[0] == "clipped" else None) for i, r in enumerate(rows)]
+    return spark.createDataFrame(wide, FRAMES)
+
+
+def test_framing(spark):
+    tx = lambda slot, names=("a",), result="success", decoded=True, vote=False: ("transaction", slot, result, decoded, vote, list(names))
+    rows = [
+        tx(5), ("start", 5), tx(5, ("a", "vote")), tx(5, ("novote",), vote=True), tx(5, result=None), tx(5, decoded=False), ("end", 5), ("start", 5), tx(5, result="fees_only"),
+        ("reconnected", None), tx(5), ("start", 5), tx(5), ("clipped", 5, 7), ("unknown", None), ("start", 6), tx(6),
+    ]
+    f = feeds.framed(frames(spark, rows), vote_rules={"novote": False, "vote": True})
+    got = {r.ingest: r for r in f.collect()}
+    assert len(got) == len(rows)
+    assert [(i, got[i].frame, got[i].out_of_frame) for i in sorted(got) if got[i].fate == "delivered"] == [(0, 0, True), (2, 1, False), (8, 2, False), (10, 3, True), (12, 4, False), (16, 0, False)]
+    assert got[2].names == ["a"] and [got[i].fate for i in (3, 4, 5)] == ["vote_rule_dropped", "unknown_result", "undecodable"]
+    assert feeds.counters(f).first().asDict() == {"delivered": 6, "out_of_frame": 2, "vote_rule_dropped": 1, "unknown_result": 1, "undecodable": 1, "restarts": 2, "clipped": 7, "unknown_payload": 1, "reconnects": 1}
+    u = feeds.counters(feeds.framed(frames(spark, [tx(1), tx(2)]), bounded=False)).first()
+    assert (u.delivered, u.out_of_frame) == (2, 0)
+    assert feeds.counters(feeds.framed(frames(spark, [tx(1)]).where("slot = 9"))).first().delivered == 0
+
+
+def test_numbering_stream(spark, tmp_path):
+    kind = "feed string, slot bigint, ingest bigint, signature string"
+    for k, rows in enumerate(([(1, 0), (1, 1), (2, 2)], [(1, 3), (2, 4)], [(100, 5), (1, 6)], [(1, 7)])):
+        spark.createDataFrame([("f", s, i, f"t{i}") for s, i in rows], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/k={k}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = feeds.numbered(stream).writeStream.format("memory").queryName("numbered").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = {r.ingest: r.frame for r in spark.table("numbered").collect()}
+    assert [got[i] for i in range(6)] == [0, 1, 0, 2, 1, 0] and got[6] == 3
+    assert got[7] == 0  # its slot was forgotten
+
+
+def test_regions_merge(spark, tmp_path):
+    kind = "slot bigint, signature string, at timestamp, region string"
+    from datetime import datetime
+
+    rows = [(1, "a", datetime(2024, 1, 1), r) for r in "xyz"] + [(1, "b", datetime(2024, 1, 1), "y"), (2, "a", datetime(2024, 1, 1), "x")]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    q = feeds.merged_regions(stream, "at", "1 hour").writeStream.format("memory").queryName("regions").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    assert sorted((r.slot, r.signature) for r in spark.table("regions").collect()) == [(1, "a"), (1, "b"), (2, "a")]
 
 
 def test_slot_tracker():
@@ -133,14 +156,6 @@ def test_tap():
     assert t.by_id["coordinator"].slot.interslot_updates and t.by_id["coordinator"].block_meta
     with pytest.raises(PrefilterError):
         feed.tapped(Filters({"coordinator": own}))
-    b = feed.BankIds()
-    b.check(1, 7)
-    b.check(1, 7)
-    with pytest.raises(ValueError, match="slots 1 and 2"):
-        b.check(2, 7)
-    b.check(1, 0)
-    with pytest.raises(ValueError, match="missing"):
-        b.check(2, 0)
 
 
 def test_blocks_and_markers(spark):
