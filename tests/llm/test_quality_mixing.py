@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from slotweave.llm import mixing, quality
@@ -52,6 +53,65 @@ def test_edges(edge, nothing):
     assert kept.columns == edge.columns and kept.count() == sum(w[-1] for w in want)
 
 
+FLOOR = np.diag(quality.FLOOR)
+
+
+def step(x, m, c, share=quality.SUBSET):
+    """One concentration step: the share of rows nearest to the estimate, estimated again."""
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    inner = x[d <= np.sort(d)[int(np.ceil(share * len(x))) - 1]]
+    return inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.consistency(share) + FLOOR
+
+
+def mcd(x):
+    """(location, scatter with FLOOR, log determinant before reweighting) by plain numpy."""
+    middle = lambda v: np.sort(v, axis=0)[int(np.ceil(len(v) / 2)) - 1]
+    med = middle(x)
+    starts = [(med, np.diag((1.4826 * middle(abs(x - med))) ** 2) + FLOOR), (x.mean(axis=0), np.cov(x.T, bias=True) + FLOOR)]
+    ends = []
+    for m, c in starts:
+        for _ in range(quality.STEPS):
+            m, c = step(x, m, c)
+        ends.append((np.linalg.slogdet(c)[1] / 2, m, c))
+    det, m, c = min(ends, key=lambda e: e[0])
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    inner = x[d <= quality._chi4_point(0.975)]
+    return inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.consistency(0.975) + FLOOR, det
+
+
+def vectors(rng, n, share):
+    """Documents' vectors as ``vector`` gives them, ``share`` of them from another law."""
+    x = np.abs(rng.standard_normal((n, 4))) * [0.1, 0.02, 0.05, 0.2] + [1.6, 0.1, 0, 0.1]
+    odd = rng.random(n) < share
+    x[odd] += rng.standard_normal((odd.sum(), 4)) * 0.2 + [0.5, 0.6, 0.7, 0.4]
+    return x
+
+
+def test_estimates_are_the_mcd(spark):
+    """Every group's location and scatter equal plain numpy's, small groups with many outliers included."""
+    rng = np.random.default_rng(7)
+    groups = {f"g{k}": vectors(rng, n, share) for k, (n, share) in enumerate([(400, 0.0), (400, 0.1), (41, 0.2), (60, 0.24), (1000, 0.02), (5, 0.0), (1, 0.0)])}
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "g string, x1 double, x2 double, x3 double, x4 double")
+    for r in quality.estimates(rows, len(groups)).collect():
+        if len(groups[r.g]) == 1:
+            assert np.allclose([r.m1, r.m2, r.m3, r.m4], groups[r.g][0])
+            continue
+        m, c, det = mcd(groups[r.g])
+        low = np.zeros((4, 4))
+        for i, j in quality.PAIRS:
+            low[i, j] = r[f"l{i + 1}{j + 1}"]
+        assert np.allclose([r.m1, r.m2, r.m3, r.m4], m, atol=1e-6) and np.allclose(low @ low.T, c, rtol=1e-4, atol=1e-8), r.g
+        # the two starts end about where the best of many random ones does, run until nothing changes
+        x, best = groups[r.g], np.inf
+        for _ in range(60 if len(x) > 10 else 0):
+            few = x[rng.choice(len(x), 10, replace=False)]
+            a, b = few.mean(axis=0), np.cov(few.T, bias=True) + FLOOR
+            for _ in range(30):
+                a, b = step(x, a, b)
+            best = min(best, np.linalg.slogdet(b)[1] / 2)
+        assert det <= best + 0.05 or len(x) <= 10, (r.g, det, best)
+
+
 def test_outliers(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 200), rng.choice(["en", "de"]), rng.choice("ab"), 0) for i in range(400)]
