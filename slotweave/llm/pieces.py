@@ -31,6 +31,7 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 LONG = 64
 _CONTRACTIONS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+_ONE, _TWO = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
 
 
 @lru_cache(maxsize=1)
@@ -92,8 +93,9 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of ``values[start:end]`` for each span; equal spans have equal hashes.
 
-    Value by value, each step multiplies and shifts what is there so far: no sum over
-    places that other values could cancel. Long spans are hashed by BLAKE2b.
+    Step by step, each multiplies and shifts what is there so far: no sum over places that
+    other values could cancel. A step takes a 64-bit value, or three code points (32-bit
+    values), of 21 bits each. Long spans are hashed by BLAKE2b.
     """
     n = ends - starts
     h = n.astype(np.uint64) * _K2 + _K3
@@ -103,19 +105,42 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     size = np.where(n > LONG, 0, n).astype(np.uint8)
     order = np.argsort(LONG - size, kind="stable")
     at, now = starts[order], h[order]
-    longer = len(n) - np.cumsum(np.bincount(size, minlength=LONG + 1))
-    for k in range(LONG):
-        m = int(longer[k])
+    # spans in order of length: so many have at least k values
+    least = len(n) - np.cumsum(np.bincount(size + 1, minlength=LONG + 6)[: LONG + 5])
+    wide = values.astype(np.uint64)
+    step = 3 if values.dtype == np.uint32 else 1
+    if step == 3:
+        one = wide.copy()
+        wide[:-1] |= one[1:] << np.uint64(21)
+        wide[:-2] |= one[2:] << np.uint64(42)
+    for k in range(0, LONG, step):
+        m = int(least[k + 1])
         if not m:
             break
-        x = now[:m]
-        x ^= values[at[:m] + k].astype(np.uint64) * _K1
+        x, v = now[:m], wide[at[:m] + k]
+        if step == 3:
+            two, three = int(least[k + 2]), int(least[k + 3])
+            v[three:two] &= _TWO
+            v[two:] &= _ONE
+        v *= _K1
+        x ^= v
         x *= _K2
         x ^= x >> np.uint64(32)
     h[order] = now
     return mixed(h)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values in order, a place of each, the number of each place's value)."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], order[new], back
+
+
 def differing(values: np.ndarray, starts: np.ndarray, n: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which spans ``values[start:start + n]`` are not ``other[at:at + n]``."""
     out = np.zeros(len(n), bool)
@@ -312,7 +337,7 @@ class Pieces:
         if not len(starts):
             return np.zeros(0, np.int64)
         n = np.diff(np.append(starts, len(cp)))
-        unique, where, back = np.unique(span_hashes(cp, starts, starts + n), return_index=True, return_inverse=True)
+        unique, where, back = distinct(span_hashes(cp, starts, starts + n))
         first, size = starts[where], n[where]
         place = self._places(unique)
         hit = np.flatnonzero(place >= 0)
