@@ -60,7 +60,7 @@ def gap_blocks_flush(spark, sf_dir):
 
 @on_banks("""
 , c AS (SELECT slot, 0 AS bank, confirmed FROM bk UNION ALL SELECT slot, 1, FALSE FROM bk WHERE slot % 3 = 0)
-SELECT slot, bank, CASE WHEN slot % 23 = 5 AND bank = 1 THEN 'Forked' WHEN slot % 31 = 11 AND bank = 0 AND NOT confirmed THEN 'Forked' WHEN slot % 37 = 3 THEN 'Incomplete'
+SELECT slot, bank, CASE WHEN slot % 37 = 3 THEN 'Incomplete' WHEN slot % 23 = 5 AND bank = 1 THEN 'Forked' WHEN slot % 31 = 11 AND bank = 0 AND NOT confirmed THEN 'Forked'
        WHEN bank = 1 AND (slot % 50 <> 49) THEN 'Unconfirmed' END AS discarded FROM c
 """)
 def fork_discard(spark, sf_dir):
