@@ -205,6 +205,27 @@ def test_fit_learns_from_all_training_documents(corpus, monkeypatch):
     assert every.learn(x, y, m, lm.Adam(every.p), np.random.default_rng(0)) == len(x)
 
 
+def test_every_token_of_training_documents_is_learned(corpus, monkeypatch):
+    """All rounds together learn from each token of every training document once; what the driver learns from is whole or nothing."""
+    chunks_ = lm.prepared(corpus)
+    counts = lm.id_counts(chunks_)
+    spelling, total, tokens, n_texts = lm.Spelling(counts), int(counts.sum()), 0, 0
+    for b in chunks_.toArrow().to_batches():
+        for _, held, ids, n in lm._documents(b):
+            tokens += int(lm.inputs_and_targets(*spelling(ids[np.repeat(~held, n)], n[~held]), spelling.end)[2].sum())
+            n_texts += int((~held).sum())
+    ids, per = lm.training_sample(chunks_, spelling, total)
+    assert (len(ids), len(per)) == (tokens - n_texts, n_texts)
+    ids, per = lm.training_sample(chunks_, spelling, total, total // 2)
+    assert len(ids) == len(per) == 0
+    taught, real = [], lm.corpus_pass
+    monkeypatch.setattr(lm, "corpus_pass", lambda *a: (out := real(*a), taught.append(out[1]))[0])
+    monkeypatch.setattr(lm, "training_sample", lambda *a: (np.zeros(0, np.int16), np.zeros(0, np.int64)))
+    monkeypatch.setattr(lm, "MANY", 0, raising=False)  # as of a corpus that is gone over once
+    lm.fit(chunks_)
+    assert sum(taught) == tokens
+
+
 def test_score_edges(edge, nothing):
     got = lm.score(edge).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == sorted(base_scores(edge_rows()))
