@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -99,6 +100,36 @@ def test_gradients_are_finite_differences(monkeypatch):
             assert abs((up - down) / 2e-5 - g[name].flat[i]) < 1e-4 * max(1, abs(g[name].flat[i])), name
 
 
+def test_products_by_rows_are_whole(model):
+    """A step's gradients, whose products take some rows at a time, are the means of its parts' by tokens: no row is lost."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, lm.ROWS, lm.ROWS + 1, 3 * lm.ROWS - 1):
+        b, c, w = rng.standard_normal((n, 17)), rng.standard_normal((n, 5)), rng.standard_normal((17, 33))
+        assert np.allclose(lm._product(b, w), b @ w) and np.allclose(lm._gathered(b, c), b.T @ c)
+    a, _, x, y, m = model
+    rows, first = lm.windows(m)
+    loss, n, g = a._gradients(x, y, rows, first, m)
+    parts = [a._gradients(x, y, rows[i::5], first[i::5], m) for i in range(5)]
+    assert n == len(x) == sum(p[1] for p in parts) and abs(sum(p[0] for p in parts) / loss - 1) < 1e-5
+    for k, v in g.items():
+        assert np.abs(sum(p[1] * p[2][k] for p in parts) / n - v).max() < 1e-4 * max(1e-2, np.abs(v).max()), k
+
+
+def test_steps_and_scores_keep_little_at_once(model):
+    """What a step or a batch of scores holds at once is what makes it slow beside others on a machine."""
+    a, _, x, y, m = model
+    x, y, m = np.tile(x, 5), np.tile(y, 5), np.tile(m, 5)
+    rows, first = lm.windows(m)
+    a.score(x, y, m)
+    peaks = []
+    for f in (lambda: a._gradients(x, y, rows[:192], first[:192], m), lambda: a.score(x, y, m)):
+        tracemalloc.start()
+        f()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[0] < 10 and peaks[1] < 5
+
+
 def test_training_lowers_the_loss():
     pattern = np.tile(np.arange(50), 60)
     ids = np.where(np.arange(3000) % 2, pattern, np.roll(pattern, 2))  # more than pairs tell
