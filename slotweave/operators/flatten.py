@@ -1,12 +1,17 @@
 """From nested transactions to instruction rows: account resolution, call paths, log slices.
 
 A transaction is exploded once and its call tree comes from a fold over the stack heights,
-all in built-in expressions. Log slices alone are found in Python, on Arrow batches.
+all in built-in expressions. Log slices alone are found in Python, on Arrow batches, in one
+pass over their lines.
 Tree paths are arrays, whose order (lexicographic, a prefix first) is the order of calls.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +20,7 @@ from pyspark.sql import types as T
 _LINE = r"^Program (?!(?:log:|data:|return:) )([^ ]+) "
 INVOKE, CLOSE = _LINE + r"invoke \[[0-9]+\]", _LINE + r"(?:success$|failed:)"
 OUTER = _LINE + r"invoke \[1\]"
+_RE_INVOKE, _RE_CLOSE, _RE_OUTER = re.compile(INVOKE), re.compile(CLOSE), re.compile(OUTER)
 
 
 def paths(heights: Column, outer: Column) -> Column:
@@ -154,45 +160,109 @@ def log_slices(logs: Column, programs: Column, tree_paths: Column) -> Column:
     return _slices(logs, programs, tree_paths)
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("log_start", T.IntegerType()), T.StructField("log_end", T.IntegerType())])), useArrow=True)
-def _slices(logs, programs, tree_paths):
-    """The call tree's walk is recursive, which expressions can't be; batches go through Arrow."""
-    return assign(list(logs or []), list(programs), [tuple(p) for p in tree_paths])
-
-
-def assign(logs: list[str], programs: list[str], tree: list[tuple[int, ...]]) -> list[tuple[int, int] | None]:
-    """The slices of ``log_slices`` for one transaction."""
-    import re
-
-    invoke, close, outer_line = re.compile(INVOKE), re.compile(CLOSE), re.compile(OUTER)
-    out: list[tuple[int, int] | None] = [None] * len(tree)
+_OTHER, _INVOKE, _CLOSE, _OUTER = range(4)
+#: Shapes of call trees that a batch remembers.
+_SHAPES = 10_000
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("log_start", T.IntegerType()), T.StructField("log_end", T.IntegerType())])))
+def _slices(logs: pa.Array, programs: pa.Array, tree_paths: pa.Array) -> pa.Array:
+    """The call tree's walk needs a stack, which expressions lack. Each line text of a batch is matched once."""
+    names: dict[str, int] = {}
+    line_at, lines = _texts(logs)
+    kinds = [_kind(x, names) for x in lines.dictionary.to_pylist()]
+    codes = lines.indices.to_pylist()
+    kind, name = [kinds[c][0] if c is not None else _OTHER for c in codes], [kinds[c][1] if c is not None else -1 for c in codes]
+    program_at, texts = _texts(programs)
+    known = [names.get(x, -2) for x in texts.dictionary.to_pylist()]
+    wanted = [known[c] if c is not None else -2 for c in texts.indices.to_pylist()]
+    tree_at, paths_ = _parts(tree_paths)
+    path_at, steps = _parts(paths_)
+    steps = steps.to_pylist()
+    shapes: dict[tuple, tuple] = {}
+    starts, ends = [None] * len(paths_), [None] * len(paths_)
+    for i in range(len(logs)):
+        a, b = tree_at[i], tree_at[i + 1]
+        cuts = path_at[a : b + 1]
+        key = (*[c - cuts[0] for c in cuts], *steps[cuts[0] : cuts[-1]])
+        shape = shapes.get(key)
+        if shape is None:
+            if len(shapes) >= _SHAPES:
+                shapes.clear()
+            shape = shapes[key] = _shape([tuple(steps[x:y]) for x, y in itertools.pairwise(cuts)])
+        lo, hi = line_at[i], line_at[i + 1]
+        _walk(kind[lo:hi], name[lo:hi], wanted[program_at[i] : program_at[i + 1]], *shape, starts, ends, a)
+    at, to = pa.array(starts, pa.int32()), pa.array(ends, pa.int32())
+    each = pa.StructArray.from_arrays([at, to], ["log_start", "log_end"], mask=at.is_null())
+    return pa.ListArray.from_arrays(pa.array(tree_at, pa.int32()), each)
+
+
+def _parts(lists: pa.Array) -> tuple[list[int], pa.Array]:
+    """(where each list starts, and the end; all lists' values). A null list is an empty one."""
+    return list(itertools.accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0)), lists.flatten()
+
+
+def _texts(lists: pa.Array) -> tuple[list[int], pa.DictionaryArray]:
+    at, values = _parts(lists)
+    return at, values.dictionary_encode()
+
+
+def _kind(line: str, names: dict[str, int]) -> tuple[int, int]:
+    """(what a line is, the number of the program that it names, which ``names`` gets)."""
+    if not line.startswith("Program "):
+        return _OTHER, -1
+    if m := _RE_OUTER.search(line):
+        return _OUTER, names.setdefault(m[1], len(names))
+    return _INVOKE if _RE_INVOKE.search(line) else _CLOSE if _RE_CLOSE.search(line) else _OTHER, -1
+
+
+def _shape(tree: list[tuple[int, ...]]) -> tuple[list[int], list[list[int]]]:
+    """(places of the outer calls, places of the calls below each call)."""
     place = {p: i for i, p in enumerate(tree)}
-    children: dict[tuple, list[tuple]] = {}
+    children: dict[tuple, list[int]] = {}
     for p in tree:
-        children.setdefault(p[:-1], []).append(p)
-
-    def walk(at: int, path: tuple) -> int:
-        below, depth, pos = list(children.get(path, ())), 1, at + 1
-        while pos < len(logs):
-            if invoke.search(logs[pos]):
-                if below:
-                    pos = walk(pos, below.pop(0))
-                    continue
-                depth += 1
-            elif close.search(logs[pos]):
+        children.setdefault(p[:-1], []).append(place[p])
+    return children.get((), []), [children.get(p, []) for p in tree]
+
+
+def _walk(kind: list[int], name: list[int], wanted: list[int], outer: list[int], below: list[list[int]], starts: list, ends: list, base: int) -> None:
+    """Puts the slices of one transaction into ``starts`` and ``ends`` from ``base`` on; each line is passed once."""
+    n, cursor = len(kind), 0
+    for root in outer:
+        while cursor < n and kind[cursor] != _OUTER:
+            cursor += 1
+        if cursor == n:
+            return
+        if root >= len(wanted) or name[cursor] != wanted[root]:
+            continue
+        call, at, kids, given, depth = root, cursor, below[root], 0, 1
+        stack, cursor = [], cursor + 1
+        while cursor < n:
+            k = kind[cursor]
+            if k == _CLOSE:
                 depth -= 1
                 if not depth:
-                    out[place[path]] = (at, pos + 1)
-                    return pos + 1
-            pos += 1
-        out[place[path]] = (at, pos)
-        return pos
-
-    cursor = 0
-    for path in children.get((), ()):
-        at = next((i for i in range(cursor, len(logs)) if outer_line.search(logs[i])), None)
-        if at is None:
-            break
-        if outer_line.search(logs[at])[1] == programs[place[path]]:
-            cursor = walk(at, path)
-    return out
+                    starts[base + call], ends[base + call] = at, cursor + 1
+                    if not stack:
+                        cursor += 1
+                        break
+                    call, at, kids, given, depth = stack.pop()
+            elif k != _OTHER:
+                if given < len(kids):
+                    stack.append((call, at, kids, given + 1, depth))
+                    call, at, kids, given, depth = kids[given], cursor, below[kids[given]], 0, 1
+                else:
+                    depth += 1
+            cursor += 1
+        else:
+            for c, a, *_ in [(call, at), *reversed(stack)]:
+                starts[base + c], ends[base + c] = a, n
+
+
+def assign(logs: list[str], programs: list[str], tree: list[tuple[int, ...]]) -> list[tuple[int, int] | None]:
+    """The slices of ``log_slices`` for one transaction."""
+    names: dict[str, int] = {}
+    found = [_kind(x, names) for x in logs]
+    starts, ends = [None] * len(tree), [None] * len(tree)
+    _walk([k for k, _ in found], [i for _, i in found], [names.get(p, -2) for p in programs], *_shape(tree), starts, ends, 0)
+    return [None if a is None else (a, b) for a, b in zip(starts, ends, strict=True)]

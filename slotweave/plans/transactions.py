@@ -258,12 +258,14 @@ def log_slices(spark, sf_dir):
     lines = F.flatten(F.transform("calls", lambda x: F.array(say(x, "invoke [1]"), F.lit("Program inner invoke [2]"), F.lit("Program log: inner invoke [1]"), F.lit("Program inner success"), say(x, "success"))))
     tree = F.flatten(F.transform("calls", lambda _, k: F.array(F.array(k), F.array(k, F.lit(0)))))
     programs = F.flatten(F.transform("calls", lambda x: F.array(F.concat(F.lit("g"), x["program"]), F.lit("inner"))))
-    t = t.select("signature", lines.alias("lines"), flatten.log_slices(lines, programs, tree).alias("s")).select("signature", "lines", F.posexplode("s").alias("i", "x"), "s")
-    outer = t.where("i % 2 = 0").withColumn("y", F.get("s", F.col("i") + 1))
-    own = flatten.direct_lines(F.slice("lines", F.col("x.log_start") + 1, F.col("x.log_end") - F.col("x.log_start")))
-    return outer.select(
-        "signature", (F.col("i") / 2).cast("int").alias("call"), F.col("x.log_start").alias("outer_start"), F.col("x.log_end").alias("outer_end"),
-        F.col("y.log_start").alias("inner_start"), F.col("y.log_end").alias("inner_end"), F.size(own).alias("own_lines"),
+    t = t.select("signature", lines.alias("lines"), programs.alias("programs"), tree.alias("tree"))
+    t = t.select("signature", "lines", flatten.log_slices(F.col("lines"), F.col("programs"), F.col("tree")).alias("s"))
+    own = lambda x: flatten.direct_lines(F.slice("lines", x["log_start"] + 1, x["log_end"] - x["log_start"]))
+    # cut per transaction: exploded calls don't each carry all of its lines
+    each = F.transform(F.filter("s", lambda _, i: i % 2 == 0), lambda x, k: F.struct(k.alias("call"), x.alias("x"), F.get("s", 2 * k + 1).alias("y"), F.size(own(x)).alias("own_lines")))
+    return t.select("signature", F.inline(each)).select(
+        "signature", "call", F.col("x.log_start").alias("outer_start"), F.col("x.log_end").alias("outer_end"),
+        F.col("y.log_start").alias("inner_start"), F.col("y.log_end").alias("inner_end"), "own_lines",
     )
 
 

@@ -84,7 +84,7 @@ def with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """signature, calls: an order's lines in the order of calls, as structs (part, supplier, program, amount)."""
     order = F.struct("l_linenumber", "part", "supplier", "l_shipdate", "price", "amount", "program")
-    i = lines(spark, sf_dir).groupBy("signature").agg(F.array_sort(F.collect_list(order)).alias("c"))
+    i = lines(spark, sf_dir).groupBy("signature").agg(F.sort_array(F.collect_list(order)).alias("c"))
     return i.select("signature", F.transform("c", lambda x: F.struct(x["part"].alias("part"), x["supplier"].alias("supplier"), x["program"].alias("program"), x["amount"].alias("amount"))).alias("calls"))
 
 

@@ -62,6 +62,24 @@ def test_log_slices_column(spark):
     assert [(x.log_start, x.log_end) for x in out] == [(0, 8), (2, 5)]
 
 
+def test_slices_of_deep_calls():
+    """One pass over the lines, without recursion: the tree may be deeper than Python's stack."""
+    n = 5000
+    logs = ["Program A invoke [1]", *[f"Program A invoke [{i}]" for i in range(2, n + 1)], *["Program A success"] * n]
+    tree = [(0,) * i for i in range(1, n + 1)]
+    assert flatten.assign(logs, ["A"] * n, tree) == [(i, 2 * n - i) for i in range(n)]
+    # unclosed calls reach the log's end
+    assert flatten.assign(logs[: n + 1], ["A"] * n, tree)[-2:] == [(n - 2, n + 1), (n - 1, n + 1)]
+
+
+def test_log_slices_rows(spark):
+    """Rows of one batch don't touch each other; absent lists are empty ones, absent lines and programs are none."""
+    rows = [(LOGS, list("AB"), [[0], [0, 0]]), (None, ["A"], [[0]]), (LOGS[9:], ["P", "D"], [[0], [1]]), ([None, *LOGS[9:]], ["D"], [[0]]), (LOGS, None, [[0]]), ([], [], [])]
+    df = spark.createDataFrame(rows, "l array<string>, p array<string>, t array<array<int>>").coalesce(1)
+    out = [[x and tuple(x) for x in r[0]] for r in df.select(flatten.log_slices(F.col("l"), F.col("p"), F.col("t"))).collect()]
+    assert out == [[(0, 8), (2, 5)], [None], [None, (0, 3)], [(1, 4)], [None], []]
+
+
 def test_instructions(spark):
     key = lambda i: bytes([i]) * 32
     ix = lambda p, a: {"program_id_index": p, "accounts": a, "data": b"d"}
