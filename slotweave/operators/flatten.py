@@ -116,26 +116,30 @@ def instructions(transactions: DataFrame) -> DataFrame:
     """
     keys = F.concat(*[F.coalesce(c, F.array().cast("array<binary>")) for c in ("static_keys", "loaded_writable", "loaded_readonly")])
     inner = F.coalesce(F.col("inner_instructions"), F.filter("inner_instructions", lambda _: F.lit(False)))
-    t = transactions.withColumn("_keys", keys)
     n = F.size("instructions")
     bad = F.exists("inner_instructions", lambda i: (i["index"] < 0) | (i["index"] >= n))
     fault = F.when(F.col("instructions").isNull(), "missing_message").when(F.coalesce(bad, F.lit(False)), "bad_inner_index")
+    none = F.lit(None)
 
     def call(ix: Column, path: Column, flat: Column) -> Column:
         fields = [ix["program_id_index"].alias("p"), ix["accounts"].alias("a"), ix["data"].alias("data"), path.alias("path"), flat.alias("flat_path")]
-        return F.struct(*fields)
+        return F.struct(*fields, none.cast("string").alias("fault"))
 
     def below(o: Column) -> Column:
         mine = F.flatten(F.transform(F.filter(inner, lambda g: g["index"] == o), lambda g: g["instructions"]))
         ways = paths(F.transform(mine, lambda x: x["stack_height"]), o)
-        return F.transform(mine, lambda x, k: call(x, F.get(ways, k), F.array(o.cast("int"), k.cast("int"))))
+        # zipped, so that the paths are found once and not once per call
+        return F.transform(F.arrays_zip(mine.alias("x"), ways.alias("way")), lambda z, k: call(z["x"], z["way"], F.array(o.cast("int"), k.cast("int"))))
 
     def with_inner(x: Column, o: Column) -> Column:
         head = F.array(call(x, F.array(o.cast("int")), F.array(o.cast("int"))))
         return F.concat(head, F.coalesce(below(o), F.filter(head, lambda _: F.lit(False))))
 
-    calls = F.flatten(F.transform("instructions", with_inner))
-    good = t.withColumn("_fault", fault).where(F.col("_fault").isNull()).withColumn("_c", F.explode(calls))
+    ints = "array<int>"
+    faulty = F.struct(none.cast("int").alias("p"), none.cast(ints).alias("a"), none.cast("binary").alias("data"), none.cast(ints).alias("path"), none.cast(ints).alias("flat_path"), fault.alias("fault"))
+    # good and faulty transactions explode together: the input is read once, and no filter repeats what made its columns
+    calls = F.when(fault.isNull(), F.flatten(F.transform("instructions", with_inner))).otherwise(F.array(faulty))
+    t = transactions.withColumn("_keys", keys).withColumn("_c", F.explode(calls))
     out_of_range = (F.col("_c.p") >= F.size("_keys")) | (F.col("_c.p") < 0) | F.exists("_c.a", lambda i: (i < 0) | (i >= F.size("_keys")))
     extra = {
         "program": resolve(F.col("_keys"), F.col("_c.p")),
@@ -144,11 +148,9 @@ def instructions(transactions: DataFrame) -> DataFrame:
         "path": F.col("_c.path"),
         "flat_path": F.col("_c.flat_path"),
         "ix_index": path_text(F.col("_c.flat_path")),
-        "error": F.when(out_of_range, "bad_account_index"),
+        "error": F.coalesce(F.col("_c.fault"), F.when(out_of_range, "bad_account_index")),
     }
-    good = good.withColumns(extra).drop("_keys", "_fault", "_c")
-    faulty = t.withColumn("error", fault).where(F.col("error").isNotNull()).drop("_keys")
-    return good.unionByName(faulty, allowMissingColumns=True)
+    return t.withColumns(extra).drop("_keys", "_c")
 
 
 def log_slices(logs: Column, programs: Column, tree_paths: Column) -> Column:

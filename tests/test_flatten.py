@@ -98,3 +98,15 @@ def test_instructions(spark):
     assert {bytes(r.signature): r.error for r in out if bytes(r.signature) != b"s"} == {b"t": "bad_account_index", b"u": "bad_inner_index", b"v": "missing_message"}
     first = next(r for r in out if bytes(r.signature) == b"s" and r.path == [0])
     assert [bytes(a)[0] for a in first.accounts] == [0, 3]
+
+
+def test_instructions_in_one_pass(spark):
+    """Faulty and good transactions come from one pass over the input; those without calls give no row."""
+    ix = lambda a: {"program_id_index": 0, "accounts": a, "data": b"d"}
+    base = dict.fromkeys(TRANSACTION.names) | {"static_keys": [b"k"]}
+    rows = [base | {"signature": b"a", "instructions": [ix([0])]}, base | {"signature": b"b", "instructions": []}, base | {"signature": b"c"}]
+    rows.append(base | {"signature": b"d", "instructions": [ix([0])], "inner_instructions": [{"index": -1, "instructions": None}]})
+    out = flatten.instructions(spark.createDataFrame(rows, TRANSACTION))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert sorted((bytes(r.signature), r.error, r.ix_index) for r in out.collect()) == [(b"a", None, "1"), (b"c", "missing_message", None), (b"d", "bad_inner_index", None)]
