@@ -7,17 +7,20 @@ stay binary here: base58 is for display. Others raise ``NotFixed`` and are read
 batches (``Program.instruction_outcome``).
 
 Values refer to the data many times, so it should be a column by itself, not an expression.
+A filter on a value would be pushed below that column and repeat what made it: ``held`` keeps
+the rows that have a value and is not pushed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.decode import ir
-from slotweave.functions.encoding import reversed_hex
+from slotweave.functions.encoding import integer, unsigned
 
 
 class NotFixed(ValueError):
@@ -26,11 +29,9 @@ class NotFixed(ValueError):
 
 def _number(node: ir.Num, data: Column, at: int) -> Column:
     """The number at a place that is known to be there: u64 as DECIMAL(20, 0), all others as BIGINT."""
-    size, raw = node.width, F.substring(data, at + 1, node.width)
-    digits = F.conv(F.hex(raw) if node.big else reversed_hex(raw, size), 16, 10 if node.format[0] == "u" or size < 8 else -10)
+    size, n = node.width, integer(F.substring(data, at + 1, node.width), node.big)
     if node.format == "u64":
-        return digits.cast("decimal(20,0)")
-    n = digits.cast("bigint")
+        return unsigned(n)
     return F.when(n >= 1 << (8 * size - 1), n - (1 << (8 * size))).otherwise(n) if node.format[0] == "i" and size < 8 else n
 
 
@@ -98,3 +99,9 @@ def fields(layout: ir.Struct, data: Column, skip: int, types: dict[str, ir.Node]
     """(the layout's struct, whether the data holds it)."""
     value, ok, size = compiled(layout, data, skip, types, last=True)
     return value, reduce(lambda a, b: a & b, ok, F.octet_length(data) >= skip + size)
+
+
+def held(df: DataFrame, name: str, wanted: Callable[[Column], Column] = Column.isNotNull) -> DataFrame:
+    """Rows whose struct column ``name`` is wanted, there as it is: what made it is evaluated once a row."""
+    kept = F.explode(F.filter(F.array(name), wanted)).alias(name)
+    return df.select(*[kept if c == name else c for c in df.columns])

@@ -69,25 +69,38 @@ def window(data: str | Column, offset: int | Column, length: int | Column) -> Co
     return F.when(F.octet_length(d) >= off + n, F.substring(d, off + 1, n))
 
 
-def reversed_hex(data: Column, size: int) -> Column:
-    """Hex digits of ``size`` bytes in reverse order.
+def _swapped(n: Column) -> Column:
+    """A BIGINT with the halves of each of its bytes exchanged."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(n.bitwiseAND(low), 4).bitwiseOR(F.shiftright(n, 4).bitwiseAND(low))
 
-    ``reverse`` on binary would reverse UTF-8 characters, not bytes.
+
+def integer(raw: Column, big_endian: bool = False) -> Column:
+    """The BIGINT with the bits of up to 8 bytes; what is missing above them is zero.
+
+    Hex digits reversed as text are the bytes in reverse order with their halves exchanged,
+    so the bytes are named once. (``reverse`` on binary would reverse UTF-8 characters.)
     """
-    h = F.hex(data)
-    return h if size == 1 else F.concat(*[F.substring(h, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
+    if big_endian:
+        return F.conv(F.hex(raw), 16, -10).cast("bigint")
+    return _swapped(F.conv(F.reverse(F.hex(raw)), 16, -10).cast("bigint"))
+
+
+def unsigned(n: Column) -> Column:
+    """The bits of a BIGINT as an unsigned number, DECIMAL(20, 0)."""
+    d = n.cast("decimal(20,0)")
+    return F.when(n < 0, (d + F.lit(Decimal(1 << 64))).cast("decimal(20,0)")).otherwise(d)
 
 
 def uint(data: str | Column, offset: int | Column, size: int, big_endian: bool = False) -> Column:
     """Unsigned integer of 1, 2, 4 (BIGINT) or 8 bytes (DECIMAL(20, 0)); null if the data is too short."""
-    w = window(data, offset, size)
-    digits = F.conv(F.hex(w) if big_endian else reversed_hex(w, size), 16, 10)
-    return digits.cast("decimal(20,0)" if size == 8 else "bigint")
+    n = integer(window(data, offset, size), big_endian)
+    return unsigned(n) if size == 8 else n
 
 
 def le_bytes(n: Column, size: int) -> Column:
     """Little-endian bytes of a non-negative integer column; the inverse of ``uint``."""
-    return F.unhex(reversed_hex(F.unhex(F.lpad(F.hex(n), 2 * size, "0")), size))
+    return F.unhex(F.reverse(F.lpad(F.hex(_swapped(n.cast("bigint"))), 2 * size, "0")))
 
 
 def saturating_add(a: Column, b: Column) -> Column:
@@ -109,12 +122,8 @@ def checked_add(a: Column, b: Column) -> Column:
 
 def sint(data: str | Column, offset: int | Column, size: int, big_endian: bool = False) -> Column:
     """Signed integer of 1 to 8 bytes as BIGINT."""
-    u = uint(data, offset, size, big_endian)
-    top = 1 << (8 * size - 1)
-    if size == 8:
-        wrapped = F.when(u >= F.lit(Decimal(top)), u - F.lit(Decimal(1 << 64))).otherwise(u)
-        return wrapped.cast("bigint")
-    return F.when(u >= top, u - (1 << (8 * size))).otherwise(u)
+    n = integer(window(data, offset, size), big_endian)
+    return n if size == 8 else F.when(n >= 1 << (8 * size - 1), n - (1 << (8 * size))).otherwise(n)
 
 
 def short_u16(data: bytes, offset: int = 0) -> tuple[int, int]:

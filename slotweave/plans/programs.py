@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.decode import idl, proto
+from slotweave.decode import columns, idl, proto
 from slotweave.decode.builtin import PROGRAMS
 from slotweave.decode.ir import Bool, Bytes, Enum, Items, Num, Option, Prefixed, Struct, ZeroOption
 from slotweave.decode.program import AccountSpec, Kind, Match, Program
@@ -69,7 +69,7 @@ FROM customer WHERE c_custkey % 4 <> 3
 def token_account_columns(spark, sf_dir) -> DataFrame:
     """The same layout compiled to Columns: nothing leaves the JVM."""
     c = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _token_account(_state()).alias("data"))
-    c = c.select("id", PROGRAMS["token"].account_fields("TokenAccount", F.col("data")).alias("v")).where("v is not null")
+    c = columns.held(c.select("id", PROGRAMS["token"].account_fields("TokenAccount", F.col("data")).alias("v")), "v")
     return c.select("id", _hex(F.col("v.owner")).alias("owner"), F.col("v.amount").cast("string").alias("amount"), "v.state")
 
 
@@ -108,7 +108,8 @@ def token_instructions(spark, sf_dir) -> DataFrame:
     args = _picked([a for _, _, a in _ALL], "int")
     data = F.concat(le_bytes(_picked([t for t, _, _ in _ALL], "bigint"), 1), F.when(args > 0, le_bytes(F.col("l_partkey"), 8)).otherwise(_zeros(0)), F.when(args == 2, le_bytes(F.col("l_linenumber"), 1)).otherwise(_zeros(0)))
     keys = F.array(*[F.lit(x) for x in "abcde"])
-    d = i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", PROGRAMS["token"].instruction_outcome(data, keys).alias("o")).where("o.outcome = 'parsed'")
+    d = i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", PROGRAMS["token"].instruction_outcome(data, keys).alias("o"))
+    d = columns.held(d, "o", lambda o: o["outcome"] == "parsed")
     return d.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), "o.kind", _payload("o", "$.args.amount", "bigint").alias("amount"), _payload("o", "$.args.decimals", "bigint").alias("decimals"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
 
 

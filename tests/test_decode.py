@@ -325,3 +325,26 @@ def test_resolver():
     p = idl.load(json.dumps(NODES))
     p.resolver = lambda data, keys: "large" if data == b"zz" else None
     assert p.instruction(b"\7", ["x"])[1] == "small" and p.instruction(b"zz", list("abc"))[1] == "large"
+
+
+def test_held_rows_are_made_once(spark):
+    """A filter on an outcome or on compiled fields isn't pushed below what makes them, which would make them twice."""
+    from slotweave.decode import columns
+
+    token = PROGRAMS["token"]
+    df = spark.createDataFrame([(b"\x03" + (7).to_bytes(8, "little"), ["a", "b", "c"]), (b"\x63", ["a"]), (None, None), (b"\x05", ["a", None])], "d binary, k array<string>")
+    every = df.select("d", token.instruction_outcome(F.col("d"), F.col("k")).alias("o"))
+    assert [(r.o.outcome, r.o.kind, r.o.error) for r in every.collect()] == [("parsed", "Transfer", None), ("error", None, "no discriminator matches"), ("error", None, "no data"), ("parsed", "Revoke", None)]
+    out = columns.held(every, "o", lambda o: o["outcome"] == "parsed")
+    assert out.columns == every.columns and [r.o.kind for r in out.collect()] == ["Transfer", "Revoke"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_token_account_columns_hash_once(spark, tmp_path):
+    """The filter on the fields repeats nothing of what made the bytes."""
+    from slotweave.plans.programs import token_account_columns
+
+    spark.createDataFrame([(1, 2, 1.5), (3, 4, 2.5)], "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = token_account_columns(spark, str(tmp_path))
+    assert [(r.id, r.amount, r.state) for r in out.collect()] == [(1, "150", "Initialized")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2
