@@ -110,3 +110,12 @@ def test_instructions_in_one_pass(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
     assert sorted((bytes(r.signature), r.error, r.ix_index) for r in out.collect()) == [(b"a", None, "1"), (b"c", "missing_message", None), (b"d", "bad_inner_index", None)]
+
+
+def test_fallback_payload_builds_its_input_once(spark):
+    """No filter repeats the folds that make the nested columns."""
+    from __spark_entry__ import SMOKE_DIR, queries
+
+    plan = queries()["json_fallback_payload"](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    assert not [x for x in plan.splitlines() if " Filter " in f" {x}" and "exists(" in x]
