@@ -6,9 +6,12 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import accumulate, pairwise
+from json.encoder import c_make_encoder, encode_basestring
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +62,17 @@ class Kind:
     #: Name under which the accounts beyond the declared ones are listed.
     rest: str = "remaining_accounts"
 
-    @property
+    @cached_property
+    def fixed(self) -> dict[int, str]:
+        """Fixed addresses of accounts that must be given, by their place."""
+        return {i: a.address for i, a in enumerate(self.accounts) if a.address and not a.optional}
+
+    @cached_property
+    def names(self) -> list[str] | None:
+        """The accounts' names if none is optional."""
+        return None if any(a.optional for a in self.accounts) else [a.name for a in self.accounts]
+
+    @cached_property
     def required(self) -> int:
         """Accounts up to the last that must be given."""
         n = 0
@@ -90,6 +103,7 @@ class Program:
     envelope: tuple[bytes, int] = (EVENT_TAG, 8)
     #: Chooses the kind of an instruction itself: (data, keys) -> its name, or None to go by discriminators.
     resolver: Callable[[bytes, list[str]], str | None] | None = None
+    _tags: tuple | None = field(default=None, init=False, repr=False)
 
     # --- one value -------------------------------------------------------------------------
 
@@ -112,11 +126,11 @@ class Program:
         if data.startswith(self.envelope[0]) and self.events:
             return "filtered", None, None, None
         chosen = self.resolver(data, keys) if self.resolver else None
-        found = [k for k in self.instructions if (k.name == chosen if chosen else all(m.holds(data) for m in k.match))]
+        found = [k for k in self.instructions if k.name == chosen] if chosen else self._matching(data)
         if not found:
             return "error", None, None, "no discriminator matches"
-        same = [k for k in found if k.match == found[0].match]
-        enough = sorted((k for k in same if len(keys) >= k.required), key=lambda k: -k.required)
+        same = [k for k in found if k.match == found[0].match] if len(found) > 1 else found
+        enough = sorted((k for k in same if len(keys) >= k.required), key=lambda k: -k.required) if len(same) > 1 else same
         if len(same) > 1 and len(enough) > 1 and enough[0].required == enough[1].required:
             return "error", None, None, f"ambiguous instruction: {enough[0].name}, {enough[1].name}"
         k = enough[0] if enough else same[0]
@@ -128,6 +142,26 @@ class Program:
         except DecodeError as e:
             return "error", k.name, None, str(e)
 
+    def _matching(self, data: bytes) -> list[Kind]:
+        """The instruction kinds whose discriminators all hold, in order; their first ones are looked up, not tried in turn."""
+        if self._tags is None or self._tags[0] is not self.instructions:
+            others: list[int] = []
+            by_value: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+            for i, k in enumerate(self.instructions):
+                if k.match and k.match[0].size is None:
+                    at, value = k.match[0].offset, k.match[0].value
+                    by_value.setdefault((at, at + len(value)), {}).setdefault(value, []).append(i)
+                else:
+                    others.append(i)
+            self._tags = (self.instructions, others, [(a, b, values) for (a, b), values in by_value.items()])
+        kinds, others, by_value = self._tags
+        near = list(others)
+        for a, b, values in by_value:
+            near += values.get(data[a:b], ())
+        if len(near) == 1 and len(kinds[near[0]].match) == 1 and not others:
+            return [kinds[near[0]]]
+        return [k for k in (kinds[i] for i in sorted(near)) if all(m.holds(data) for m in k.match)]
+
     def _accounts(self, k: Kind, keys: list[str]) -> tuple[dict, str | None]:
         """Accounts by name, and what lies beyond them; an optional one that is the program itself was left out.
 
@@ -136,12 +170,14 @@ class Program:
         one that is there has another address, or a missing one's address stands elsewhere.
         """
         n = len(keys)
-        fixed = {i: a.address for i, a in enumerate(k.accounts) if a.address and not a.optional}
+        fixed = k.fixed
         if fixed and n <= max(fixed):
             skipped = any(a.optional and i >= n for i, a in enumerate(k.accounts) if i < max(fixed))
             moved = any(keys[i] != x if i < n else any(key == x and j not in fixed for j, key in enumerate(keys)) for i, x in fixed.items())
             if skipped or moved:
                 return {}, "the accounts are shifted"
+        if k.names is not None and n >= len(k.names):
+            return {**dict(zip(k.names, keys, strict=False)), k.rest: keys[len(k.names) :]}, None
         named: dict[str, object] = {}
         for i, a in enumerate(k.accounts):
             if i < n:
@@ -292,9 +328,9 @@ def _case(kinds: Iterable[Kind], data: Column) -> Column:
 
 
 def _account_udf(program: Program):
-    @F.pandas_udf(OUTCOME)
-    def run(data: pd.Series) -> pd.DataFrame:
-        return _frame(("filtered", None, None, None) if x is None else program.account(bytes(x)) for x in data)
+    @F.arrow_udf(OUTCOME)
+    def run(data: pa.Array) -> pa.Array:
+        return _outcomes(("filtered", None, None, None) if x is None else program.account(x) for x in data.to_pylist())
 
     return run
 
@@ -302,12 +338,17 @@ def _account_udf(program: Program):
 def _instruction_udf(program: Program):
     from slotweave.functions.encoding import b58encode
 
-    text = lambda k: k if isinstance(k, str) or k is None else b58encode(bytes(k))
-
-    @F.pandas_udf(OUTCOME)
-    def run(data: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        rows = (("error", None, None, "no data") if x is None else program.instruction(bytes(x), [text(k) for k in ([] if y is None else y)]) for x, y in zip(data, keys, strict=True))
-        return _frame(rows)
+    @F.arrow_udf(OUTCOME)
+    def run(data: pa.Array, keys: pa.Array) -> pa.Array:
+        # each key of a batch is made text once
+        values = keys.flatten().dictionary_encode()
+        texts = [k if k is None or isinstance(k, str) else b58encode(k) for k in values.dictionary.to_pylist()]
+        codes = values.indices.fill_null(len(texts)).to_numpy(zero_copy_only=False).tolist()
+        texts.append(None)
+        named = [texts[c] for c in codes]
+        at = list(accumulate(keys.value_lengths().fill_null(0).to_pylist(), initial=0))
+        each = zip(data.to_pylist(), pairwise(at), strict=True)
+        return _outcomes(("error", None, None, "no data") if x is None else program.instruction(x, named[a:b]) for x, (a, b) in each)
 
     return run
 
@@ -327,9 +368,22 @@ def _events_udf(program: Program):
     return run
 
 
-def _frame(rows) -> pd.DataFrame:
-    out = [(o, k, None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":")), e) for o, k, v, e in rows]
-    return pd.DataFrame(out, columns=["outcome", "kind", "payload", "error"])
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), check_circular=False)
+#: ``encode`` makes an encoder in C for each value; here one serves all, where there is one.
+_c_encode = c_make_encoder and c_make_encoder(None, _ENCODER.default, encode_basestring, None, ":", ",", False, False, True)
+
+
+def _json(value: dict) -> str:
+    return "".join(_c_encode(value, 0)) if _c_encode else _ENCODER.encode(value)
+
+
+def _outcomes(rows: Iterable[tuple[str, str | None, dict | None, str | None]]) -> pa.Array:
+    out: list[list] = [[], [], [], []]
+    for o, k, v, e in rows:
+        # values become text at once: a batch of dicts would be work for the garbage collector
+        for into, x in zip(out, (o, k, None if v is None else _json(v), e)):
+            into.append(x)
+    return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in out], ["outcome", "kind", "payload", "error"])
 
 
 def log_payloads(lines: list[str], program: str) -> list[bytes]:
